@@ -15,6 +15,25 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup(_read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op5_topk(spark, sf_dir):
+    from .topk import topk
+
+    e = _read(spark, sf_dir, "embeddings")
+    return topk(e.where("vec_id % 20 = 0"), e, k=20)
+
+
+def op7_warc(spark, sf_dir):
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op9_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -23,5 +42,8 @@ def op9_mixing(spark, sf_dir):
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op5_topk": op5_topk,
+    "op7_warc": op7_warc,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
 }

@@ -35,3 +35,46 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.off,
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor((k + 1) * each + off) - floor(k * each + off)) * size)::BIGINT AS taken FROM r
 """
+
+ORACLES["op5_topk"] = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM c q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id
+      WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLES["op7_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, upper(sha1(h)) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first FROM s GROUP BY x),
+d AS (SELECT x, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS b32 FROM f)
+SELECT s.page_id, s.payload_bytes, d.b32 AS payload_digest,
+       CASE WHEN s.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN s.page_id = f.first THEN NULL ELSE f.first END AS refers_to
+FROM s JOIN f ON s.x = f.x JOIN d ON s.x = d.x
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op8_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS t FROM bw),
+lens AS (SELECT DISTINCT n FROM win),
+dl AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n),
+dg AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS t FROM dl),
+hit AS (SELECT doc_id, item_id, s, dg.n AS n FROM dg JOIN win ON dg.n = win.n AND dg.t = win.t),
+pos AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit),
+nh AS (SELECT doc_id, count(*)::BIGINT AS n_hit FROM pos GROUP BY doc_id),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS items
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w)) AS contaminated
+FROM d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
