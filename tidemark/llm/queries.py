@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark, sf_dir):
+    from .quality import classify_quality
+
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_line_dedup(spark, sf_dir):
     from .line_dedup import line_dedup
 
@@ -41,6 +47,7 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_topk": op5_topk,
     "op7_warc": op7_warc,
