@@ -21,6 +21,12 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup(_read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+def op4_jaccard(spark, sf_dir):
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark, sf_dir):
     from .topk import topk
 
@@ -49,6 +55,7 @@ def op9_mixing(spark, sf_dir):
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard": op4_jaccard,
     "op5_topk": op5_topk,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
