@@ -154,10 +154,10 @@ class RangeHash:
         return _splitmix(x + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every row, and the index of
+def word_bounds(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes not in ``blank``) of every row, and the index of
     each row's first word (one more at the end)."""
-    ink = ~BLANK[data]
+    ink = ~blank[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cut = offs[1:-1]

@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    from .toxicity import classify_toxicity
+
+    return classify_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_quality(spark, sf_dir):
     from .quality import classify_quality
 
@@ -53,6 +59,7 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard": op4_jaccard,
