@@ -2,7 +2,7 @@
 
 A text's words (runs of letters, digits and non-ASCII, A-Z lower-cased) enter as a
 word vector, known words only, next to the mean vector of the word's character
-trigrams. Windows of ``WINDOW`` words, each half over the next, run through a GRU in
+n-grams (three and six bytes long, the word's ends marked). Windows of ``WINDOW`` words, each half over the next, run through a GRU in
 either direction; attention pools the states of a window into one logit; a
 document's score is its highest window's, put on a probability scale by a logistic
 fit on the training documents. All windows of all whole texts are scored.
@@ -33,7 +33,7 @@ from .common import LOWER, RangeHash, as_docs, chunks, word_bounds
 from .quality import _text_arrays, training_rows
 
 WINDOW, STRIDE = 24, 12
-WORD_DIMS, CHAR_DIMS, HIDDEN, CHAR_BITS = 12, 8, 8, 11
+WORD_DIMS, CHAR_DIMS, HIDDEN, CHAR_BITS = 12, 10, 8, 15
 
 # What is no part of a word once A-Z is lower-cased.
 GAP = np.ones(256, bool)
@@ -46,8 +46,8 @@ def _sigmoid(x):
 
 
 def tokens(data: np.ndarray, offs: np.ndarray):
-    """(codes, hashes, trigrams, trigram bounds, first word of each row): each word's number among
-    the distinct words, and of these the hash and the character trigrams, end to end."""
+    """(codes, hashes, n-grams, n-gram bounds, first word of each row): each word's number among
+    the distinct words, and of these the hash and the character n-grams, two at each byte, end to end."""
     low = LOWER[data]
     s, e, first = word_bounds(low, offs, GAP)
     codes, hashes = pd.factorize(RangeHash(low).of(s, e))
@@ -61,8 +61,14 @@ def tokens(data: np.ndarray, offs: np.ndarray):
     if len(n):
         before[bounds[:-1]] = 0
         after[bounds[1:] - 1] = 0
-    tri = (before << np.uint32(16) | pad[pos] << np.uint32(8) | after) * np.uint32(2654435761) >> np.uint32(32 - CHAR_BITS)
-    return codes, hashes, tri.astype(np.int64), bounds, first
+    three = (before << np.uint32(16) | pad[pos] << np.uint32(8) | after) + np.uint32(1)
+    later = np.zeros(len(three), np.uint32)
+    later[:-3] = three[3:]
+    left = np.repeat(bounds[1:], n) - np.arange(bounds[-1])  # bytes from here to the word's end
+    later[left <= 3] = 0
+    six = (three * np.uint32(2654435761)) ^ (later * np.uint32(2246822519)) ^ np.uint32(0x5BD1E995)
+    grams = np.stack([three, six], 1).ravel() * np.uint32(2654435761) >> np.uint32(32 - CHAR_BITS)
+    return codes, hashes, grams.astype(np.int64), 2 * bounds, first
 
 
 def window_index(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,6 +234,14 @@ def _fit(texts, y, max_windows, steps, batch, rate, decay, seed) -> Net | None:
     df = np.bincount(once.w, minlength=len(hashes))
     n1 = max(1.0, y.sum())
     odds = np.log((df1 + 0.5) / n1) - np.log((df - df1 + 0.5) / max(1.0, len(y) - n1))
+    # and each character n-gram, which a word shares
+    gn = np.diff(bounds)[once.w]
+    gram = tri[np.repeat(bounds[:-1][once.w] - np.cumsum(gn) + gn, gn) + np.arange(gn.sum())]
+    pair = np.unique(np.repeat(once.r.to_numpy(), gn) << CHAR_BITS | gram)
+    g1 = np.bincount(pair & ((1 << CHAR_BITS) - 1), y[pair >> CHAR_BITS], minlength=1 << CHAR_BITS)
+    g = np.bincount(pair & ((1 << CHAR_BITS) - 1), minlength=1 << CHAR_BITS)
+    godds = np.log((g1 + 0.5) / n1) - np.log((g - g1 + 0.5) / max(1.0, len(y) - n1))
+    odds = np.maximum(odds, np.maximum.reduceat(godds[tri], bounds[:-1]))
     frequent = np.flatnonzero(df >= 3)
     net = Net(hashes[frequent[np.argsort(-df[frequent], kind="stable")][:20_000]])
     known = net.known(hashes)
@@ -256,9 +270,13 @@ def _fit(texts, y, max_windows, steps, batch, rate, decay, seed) -> Net | None:
         return w[np.append(True, wrow[w][1:] != wrow[w][:-1])]
 
     def leading(by: np.ndarray) -> np.ndarray:
-        """Each toxic document's leading window; labels are not all right, so the least telling tenth is left out."""
+        """The windows of toxic documents near their document's best; labels are not all right, so
+        the least telling tenth of the documents is left out."""
         w = best_of(toxic, by)
-        return w[np.argsort(-by[w], kind="stable")][: max(1, int(len(w) * 0.9))]
+        w = w[np.argsort(-by[w], kind="stable")][: max(1, int(len(w) * 0.9))]
+        most = np.full(len(texts), np.inf)
+        most[wrow[w]] = by[w]
+        return np.flatnonzero(toxic & (by >= most[wrow] - 1.5))
 
     pos = leading(guide)
     for t in range(1, steps + 1):
@@ -271,7 +289,7 @@ def _fit(texts, y, max_windows, steps, batch, rate, decay, seed) -> Net | None:
         some = idx[take].copy()
         half = batch // 2
         telling = odds[some[:half]]
-        lose = (telling < telling.max(1, keepdims=True)) & (r.random((half, WINDOW)) < r.choice([0.0, 0.5, 0.9], half)[:, None])
+        lose = (telling < telling.max(1, keepdims=True) - 1.0) & (r.random((half, WINDOW)) < r.choice([0.0, 0.5, 0.9], half)[:, None])
         some[:half][lose] = idx[r.choice(neg, int(lose.sum())), r.integers(0, WINDOW, int(lose.sum()))]
         words, local = np.unique(some, return_inverse=True)
         local = local.reshape(len(take), WINDOW)
@@ -291,16 +309,20 @@ def _fit(texts, y, max_windows, steps, batch, rate, decay, seed) -> Net | None:
 
 
 def _logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit (Newton, lightly held), slope above 0."""
+    """Slope (above 0) and shift of a lightly held logistic fit by bounded Newton steps."""
+    mid, scale = float(np.median(s)), float(s.std()) + 1e-6
+    x = (s - mid) / scale
     a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        d, w = weight * (p - y), weight * p * (1 - p) + 1e-6
-        ga, gb = (d * s).sum() + 0.1 * (a - 1), d.sum() + 0.1 * b
-        haa, hab, hbb = (w * s * s).sum() + 0.1, (w * s).sum(), w.sum() + 0.1
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        d, w = weight * (p - y), weight * p * (1 - p)
+        ga, gb = (d * x).sum() + 0.5 * (a - 1), d.sum() + 0.05 * b
+        haa, hab, hbb = (w * x * x).sum() + 0.5, (w * x).sum(), w.sum() + 0.05
         det = haa * hbb - hab * hab
-        a, b = a - 0.5 * (hbb * ga - hab * gb) / det, b - 0.5 * (haa * gb - hab * ga) / det
-    return max(float(a), 0.05), float(b)
+        a -= float(np.clip((hbb * ga - hab * gb) / det, -0.5, 0.5))
+        b -= float(np.clip((haa * gb - hab * ga) / det, -0.5, 0.5))
+    a = max(a, 0.05) / scale
+    return a, b - a * mid
 
 
 def raw_scores(net: Net, data: np.ndarray, offs: np.ndarray, most: int = 4096) -> np.ndarray:
