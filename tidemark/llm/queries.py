@@ -40,6 +40,12 @@ def op5_topk(spark, sf_dir):
     return topk(e.where("vec_id % 20 = 0"), e, k=20)
 
 
+def op6_substring(spark, sf_dir):
+    from .fm_dedup import substring_dedup
+
+    return substring_dedup(_read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 def op7_warc(spark, sf_dir):
     from .warc import round_trip
 
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_jaccard": op4_jaccard,
     "op5_topk": op5_topk,
+    "op6_substring": op6_substring,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,

@@ -92,3 +92,16 @@ m AS (SELECT node, min(root) AS component FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d.doc_id)::BIGINT AS component_id
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.node
 """
+
+ORACLES["op6_substring"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 49 + 1)) AS s FROM d WHERE len(w) >= 50),
+g AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) AS h FROM i),
+f AS (SELECT h, min(doc_id) AS first FROM g GROUP BY h),
+p AS (SELECT DISTINCT g.doc_id, unnest(range(g.s, g.s + 50)) AS i FROM g JOIN f ON g.h = f.h WHERE f.first < g.doc_id),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT u.doc_id, count(p.i)::BIGINT AS n_removed, string_agg(u.x, ' ' ORDER BY u.i) FILTER (WHERE p.i IS NULL) AS kept
+      FROM u LEFT JOIN p ON u.doc_id = p.doc_id AND u.i = p.i GROUP BY u.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
