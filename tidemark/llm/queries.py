@@ -64,6 +64,12 @@ def op9_mixing(spark, sf_dir):
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -74,4 +80,5 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
+    "op10_suffix": op10_suffix,
 }
