@@ -223,6 +223,32 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bit
     return met.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
+def _tokens_seen(bits: int):
+    def run(batches):
+        seen = [b.column("prefix").flatten().to_numpy().view(np.uint64) for b in batches]
+        if seen:
+            once, c = np.unique(np.concatenate(seen), return_counts=True)  # a document has a shingle once
+            if len(once):
+                yield bloom.emit(once, once[c > 1], bits, TaskContext.get().partitionId())
+
+    return run
+
+
+def _tokens_kept(bits: int, shared):
+    def run(batches):
+        filt = shared.value
+        for b in batches:
+            col = b.column("prefix")
+            t, size = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
+            hit = np.flatnonzero(bloom.contains(filt, bits, t.view(np.uint64)))
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size)
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("n").take(at), pa.array(pos[hit], pa.int32()), pa.array(t[hit])], names=["doc", "n", "pos", "t"])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 24) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -239,15 +265,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     same = materialize(same.distinct(), "jac-same")
     copies = same.select(F.col("b").alias("doc_id")).distinct()
     lone = pre.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
+    # prefix shingles that one document alone has are dropped before anything shuffles
+    pbits = pow2_at_least(16 * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 29)
+    shared_tokens = spark.sparkContext.broadcast(bloom.twice_filter(lone.select("prefix").mapInArrow(_tokens_seen(pbits), bloom.SCHEMA), pbits))
     fit = F.lit(100 / percent).cast("double")
-    tok = lone.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "t")).withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(fit)).cast("int"))
-    many = tok.groupBy("t").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("t")
-    tok = materialize(tok.join(many, "t", "left_semi"), "jac-tokens")
+    tok = lone.select("doc_id", "n", "prefix").mapInArrow(_tokens_kept(pbits, shared_tokens), "doc long, n long, pos int, t long")
+    tok = materialize(tok.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(fit)).cast("int")), "jac-tokens")
 
     def possible(x: str, y: str):
+        """Bounds for one shared shingle: lengths that fit, and what can follow it."""
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        need = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
-        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (1 + F.least(nx - F.col(f"{x}.pos") - 1, ny - F.col(f"{y}.pos") - 1) >= need)
+        return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (1 + F.least(nx - F.col(f"{x}.pos") - 1, ny - F.col(f"{y}.pos") - 1) >= need(nx, ny))
+
+    def need(nx, ny):
+        return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
+
+    def voted(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, votes) of rows (a, b, na, nb, pa, pb): all shared prefix shingles and what can follow the last bound the overlap."""
+        v = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        return v.where(F.col("votes") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need(F.col("na"), F.col("nb"))).select("a", "b", "votes")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
         sizes = lone.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -256,9 +292,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
         return materialize(got.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), tag)
 
     # round one: each document with its most frequent pivot
-    pivot = tok.groupBy("t", "cls").agg(F.min(F.struct("n", "doc", "pos")).alias("p")).select("t", "cls", "p.*")
+    # the pivot of a shingle is the document whose own shingles are shared most: in a family of
+    # near copies that is the one the others come from
+    shared_by = tok.groupBy("t").agg(F.count("*").alias("docs"))
+    weight = tok.join(shared_by, "t").groupBy("doc").agg(F.sum("docs").alias("weight"))
+    pivot = tok.join(weight, "doc").groupBy("t", "cls").agg(F.max_by(F.struct("n", "doc", "pos"), F.struct("weight", -F.col("doc"))).alias("p")).select("t", "cls", "p.*")
     star = tok.alias("x").join(pivot.alias("y"), ["t", "cls"]).where(F.col("x.doc") != F.col("y.doc")).where(possible("x", "y"))
-    votes = star.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    votes = voted(star.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.col("y.pos").alias("pa"), F.col("x.pos").alias("pb")))
     first = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
     first = materialize(first, "jac-pairs1")
     links = linked(first, "jac-links1")
@@ -268,7 +308,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     mixed = t2.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
     t2 = materialize(t2.join(mixed, "t", "left_semi"), "jac-mixed")
     across = t2.alias("x").join(t2.alias("y"), F.expr("x.t = y.t and x.doc < y.doc and x.component <> y.component")).where(possible("x", "y"))
-    across = across.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    across = voted(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))).select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(across.join(done, ["a", "b"], "left_anti"), "jac-pairs2")
     if not second.isEmpty():
