@@ -55,10 +55,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     return s.select("source", "source_size", "ord", target.cast("double").alias("target"), offset.alias("offset"))
 
 
-def copies(docs: DataFrame, carry: list[str] | None = None, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, then the columns named in ``carry``."""
-    carry = carry or []
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *carry)
+def copies(docs: DataFrame, carry: bool = False, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies; with ``carry`` also the whole input row as ``row``."""
+    more = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *more)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written once: tasks run again must see the same partitions, and so the same ranks
@@ -74,7 +74,13 @@ def copies(docs: DataFrame, carry: list[str] | None = None, weights=WEIGHTS, sha
     rank = F.col("at") - F.col("first") + F.col("before")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((rank + 1) * each + F.col("offset")) - F.floor(rank * each + F.col("offset"))
-    return got.select(F.col("d.doc_id"), F.col("d.source"), F.col("d.size"), "source_size", "target", crossed.cast("long").alias("copies"), *[F.col(f"d.{c}") for c in carry])
+    return got.select(F.col("d.doc_id"), F.col("d.source"), F.col("d.size"), "source_size", "target", crossed.cast("long").alias("copies"), *(["d.row"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the input's columns, each document as many times as it is taken."""
+    got = copies(docs, carry=True, **options).where("copies > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

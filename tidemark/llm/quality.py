@@ -211,6 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return pooler, Network(pooler.width).fit(x[order], y[order])
 
 
+def _keep_task(shared, threshold: float):
+    def run(batches):
+        pooler, net = shared.value
+        for b in batches:
+            for at, to, data, offs in chunks(b):
+                keep = net.score(pooler.pool(data, offs)) >= threshold
+                yield b.slice(at, to - at).filter(pa.array(keep))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = 8000) -> DataFrame:
+    """The rows of docs, all columns, whose text the classifier does not reject."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labels=max_labels))
+    return docs.mapInArrow(_keep_task(model, threshold), docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = 8000) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_labels=max_labels))
