@@ -1,2 +1,485 @@
-QUERIES = {}
-ORACLES = {}
+"""The operators bound to the driver's tables, each with the SQL that gives the same rows.
+
+The tables are not source code, so every operator takes a column mapping: an order
+stands for a commit, the suppliers of its lines for the files it touched, and so on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import classify, text
+from tidemark.operators import clones, families, graph, history, intervals, rank, surface
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+CAP = 10  # mass edits of this binding: orders of more than this many suppliers
+SWEEP = {"fraction": 0.5, "min_dir": 2, "min_touched": 2}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ history
+
+def _touches(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_suppkey").alias("entity")).distinct()
+
+
+def _commits(s, d):
+    c = table(s, d, "customer").select("c_custkey", (F.col("c_mktsegment") == "MACHINERY").alias("is_bot"))
+    o = table(s, d, "orders").withColumn("is_fix", F.substring("o_orderpriority", 1, 1).isin("1", "2"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"), "is_fix", "is_bot")
+
+
+def _places(s, d):
+    return table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("dir"))
+
+
+def _flags(s, d):
+    t = _touches(s, d)
+    return history.flagged(_commits(s, d), t, history.sweeps(t, _places(s, d), **SWEEP), CAP)
+
+
+_T = "t AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS e FROM lineitem)"
+_SW = f"""{_T},
+pl AS (SELECT s_suppkey AS e, s_nationkey AS dir FROM supplier),
+ds AS (SELECT dir, count(*) AS n FROM pl GROUP BY dir),
+dh AS (SELECT t.c, pl.dir, count(*) AS k FROM t JOIN pl ON t.e = pl.e GROUP BY t.c, pl.dir),
+sr AS (SELECT dh.c, dh.dir, dh.k, ds.n, row_number() OVER (PARTITION BY dh.c ORDER BY dh.k DESC, dh.dir) AS rn
+       FROM dh JOIN ds ON dh.dir = ds.dir WHERE ds.n >= 2 AND dh.k >= 0.5 * ds.n AND dh.k >= 2),
+sw AS (SELECT c, dir, k, n FROM sr WHERE rn = 1)"""
+_FL = f"""{_SW},
+sz AS (SELECT c, count(*) AS size FROM t GROUP BY c),
+fl AS (SELECT o_orderkey AS c, o_custkey AS author, o_orderdate AS ts, c_mktsegment = 'MACHINERY' AS bot, sw.c IS NOT NULL AS sweep,
+       coalesce(size, 0) > {CAP} AS mass, substr(o_orderpriority, 1, 1) IN ('1', '2') AS worded
+       FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN sz ON o_orderkey = sz.c LEFT JOIN sw ON o_orderkey = sw.c),
+ch AS (SELECT t.e, count(*)::BIGINT AS commits, sum((worded AND NOT mass)::INT)::BIGINT AS fix_commits, sum((worded AND mass)::INT)::BIGINT AS capped_fix_commits,
+       sum(sweep::INT)::BIGINT AS sweep_commits, sum(bot::INT)::BIGINT AS bot_commits, count(DISTINCT CASE WHEN NOT bot THEN author END)::BIGINT AS authors, max(ts) AS last_touched
+       FROM t JOIN fl ON t.c = fl.c GROUP BY t.e)"""
+_CO = f"""{_FL},
+pr AS (SELECT x.e AS a, y.e AS b, count(*)::BIGINT AS together, sum((NOT sweep)::INT)::BIGINT AS together_nonsweep
+       FROM t x JOIN t y ON x.c = y.c AND x.e < y.e JOIN fl ON x.c = fl.c WHERE NOT mass GROUP BY 1, 2),
+nn AS (SELECT count(*) AS n FROM fl WHERE NOT sweep),
+co AS (SELECT pr.*, together_nonsweep::DOUBLE / greatest(least(x.commits - x.sweep_commits, y.commits - y.sweep_commits), 1) AS strength,
+       together_nonsweep::DOUBLE * n / greatest(x.commits * y.commits, 1) AS lift
+       FROM pr JOIN ch x ON pr.a = x.e JOIN ch y ON pr.b = y.e, nn WHERE together_nonsweep >= 2),
+ck AS (SELECT * FROM co WHERE strength >= 0.0 AND lift >= 1.2)"""
+
+
+def _co(s, d):
+    t, fl = _touches(s, d), _flags(s, d)
+    return history.cochange(t, fl, history.churn(t, fl), min_together=2, min_strength=0.0, min_lift=1.2)
+
+
+@query(f"WITH {_FL} SELECT e AS entity, commits, fix_commits, capped_fix_commits, sweep_commits, bot_commits, authors, last_touched FROM ch")
+def churn_profile(s, d):
+    return history.churn(_touches(s, d), _flags(s, d))
+
+
+@query(f"WITH {_FL} SELECT c AS commit, size::BIGINT AS size, worded AND mass AS capped_fix FROM (SELECT fl.*, coalesce(sz.size, 0) AS size FROM fl LEFT JOIN sz ON fl.c = sz.c) WHERE mass")
+def mass_edit_cap(s, d):
+    return _flags(s, d).where("mass").select("commit", F.col("size").cast("long").alias("size"), "capped_fix")
+
+
+@query(f"WITH {_SW} SELECT c AS commit, dir, k::BIGINT AS dir_touched, n::BIGINT AS dir_size FROM sw")
+def sweep_commits(s, d):
+    return history.sweeps(_touches(s, d), _places(s, d), **SWEEP)
+
+
+@query(f"WITH {_CO} SELECT a, b, together, together_nonsweep, round(strength, 9) AS strength, round(lift, 9) AS lift FROM ck")
+def cochange_lift(s, d):
+    return _co(s, d).withColumns({"strength": F.round("strength", 9), "lift": F.round("lift", 9)})
+
+
+@query("""WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS c, user_id AS e FROM events),
+sz AS (SELECT c, count(*) AS n FROM t GROUP BY c), k AS (SELECT t.* FROM t JOIN sz ON t.c = sz.c WHERE n <= 25),
+p AS (SELECT x.e AS a, y.e AS b, count(*)::BIGINT AS together FROM k x JOIN k y ON x.c = y.c AND x.e < y.e GROUP BY 1, 2)
+SELECT a, b, together FROM p WHERE together >= 5""")
+def cochange_session(s, d):
+    t = table(s, d, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("commit"), F.col("user_id").alias("entity")).distinct()
+    fl = t.groupBy("commit").agg(F.count("*").alias("size")).select("commit", (F.col("size") > 25).alias("mass"), F.lit(False).alias("sweep"))
+    return history.pair_counts(t, fl).where("together >= 5").select("a", "b", "together")
+
+
+def _same_nation(s, d):
+    p = table(s, d, "supplier").select("s_suppkey", "s_nationkey")
+    return p.alias("x").join(p.alias("y"), "s_nationkey").where("x.s_suppkey < y.s_suppkey").select(F.col("x.s_suppkey").alias("x"), F.col("y.s_suppkey").alias("y"))
+
+
+@query(f"WITH {_CO} SELECT a, b, together_nonsweep FROM ck JOIN pl x ON a = x.e JOIN pl y ON b = y.e WHERE x.dir <> y.dir")
+def hidden_coupling(s, d):
+    return history.hidden(_co(s, d), _same_nation(s, d)).select("a", "b", "together_nonsweep")
+
+
+@query(f"""WITH {_CO},
+im AS (SELECT x.e AS x, y.e AS y FROM pl x JOIN pl y ON x.dir = y.dir AND x.e <> y.e),
+cc AS (SELECT t.* FROM t JOIN fl ON t.c = fl.c WHERE NOT mass AND NOT sweep),
+m AS (SELECT ck.a, ck.b, i.y AS target, ck.together_nonsweep, count(*) AS k FROM ck JOIN im i ON i.x = ck.a JOIN im j ON j.x = ck.b AND j.y = i.y
+      JOIN cc u ON u.e = ck.a JOIN cc v ON v.c = u.c AND v.e = ck.b JOIN cc w ON w.c = u.c AND w.e = i.y GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY k DESC, target) AS rn FROM m WHERE k >= 0.05 * together_nonsweep)
+SELECT a, b, target AS explained_by, k::BIGINT AS explained_commits FROM r WHERE rn = 1""")
+def explained_coupling(s, d):
+    e = _same_nation(s, d)
+    return history.explained(_co(s, d), e.unionAll(e.select("y", "x")), _touches(s, d), _flags(s, d), min_share=0.05)
+
+
+# ------------------------------------------------------------------ scores
+
+def _signals(s, d):
+    t, fl = _touches(s, d), _flags(s, d)
+    li = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(
+        F.max("l_quantity").cast("long").alias("max_cognitive"), F.sum("l_quantity").cast("long").alias("total_cognitive"), F.count("*").alias("lines"),
+        F.countDistinct("l_partkey").alias("fan_in"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("dead_lines"), F.sum((F.col("l_discount") == 0).cast("long")).alias("clone_lines"),
+        F.sum((F.col("l_tax") == 0).cast("long")).alias("test_units"))
+    zero = {c: F.lit(0).cast("long") for c in ("helper_sites", "family_literals", "clump_members", "declared_sites", "short_share")}
+    sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_acctbal") < 0).alias("in_runtime_cycle"))
+    c = history.churn(t, fl).select("entity", "commits", "fix_commits")
+    out = sup.join(li, "entity", "left").join(c, "entity", "left").fillna(0)
+    return out.withColumn("dead_ratio", F.col("dead_lines") / F.greatest("lines", F.lit(1))).withColumns(zero)
+
+
+_SIG = f"""{_FL},
+li AS (SELECT l_suppkey AS e, max(l_quantity)::BIGINT AS max_cognitive, sum(l_quantity)::BIGINT AS total_cognitive, count(*)::BIGINT AS lines, count(DISTINCT l_partkey)::BIGINT AS fan_in,
+       sum((l_returnflag = 'R')::INT)::BIGINT AS dead_lines, sum((l_discount = 0)::INT)::BIGINT AS clone_lines, sum((l_tax = 0)::INT)::BIGINT AS test_units FROM lineitem GROUP BY 1),
+sg AS (SELECT s_suppkey AS e, s_acctbal < 0 AS in_cycle, coalesce(max_cognitive, 0) AS max_cognitive, coalesce(total_cognitive, 0) AS total_cognitive, coalesce(lines, 0) AS lines,
+       coalesce(fan_in, 0) AS fan_in, coalesce(dead_lines, 0) AS dead_lines, coalesce(clone_lines, 0) AS clone_lines, coalesce(test_units, 0) AS test_units,
+       coalesce(commits, 0) AS commits, coalesce(fix_commits, 0) AS fix_commits, coalesce(dead_lines, 0)::DOUBLE / greatest(coalesce(lines, 0), 1) AS dead_ratio
+       FROM supplier LEFT JOIN li ON s_suppkey = li.e LEFT JOIN ch ON s_suppkey = ch.e),
+pc AS (SELECT *, percent_rank() OVER (ORDER BY commits) AS p_commits, percent_rank() OVER (ORDER BY fix_commits) AS p_fix, percent_rank() OVER (ORDER BY max_cognitive) AS p_max,
+       percent_rank() OVER (ORDER BY total_cognitive) AS p_tot, percent_rank() OVER (ORDER BY fan_in) AS p_fan, percent_rank() OVER (ORDER BY clone_lines) AS p_clone,
+       percent_rank() OVER (ORDER BY lines) AS p_lines, percent_rank() OVER (ORDER BY dead_ratio) AS p_dead FROM sg),
+cx AS (SELECT *, CASE WHEN max_cognitive = 0 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE * p_max + 0.4::DOUBLE * p_tot END AS cx FROM pc),
+v AS (SELECT e, test_units, sqrt((CASE WHEN commits = 0 THEN 0.0::DOUBLE ELSE p_commits END) * cx) AS hotspot, CASE WHEN fix_commits = 0 THEN 0.0::DOUBLE ELSE p_fix END AS fixes, cx AS complexity,
+      greatest(CASE WHEN fan_in = 0 THEN 0.0::DOUBLE ELSE p_fan END, CASE WHEN in_cycle THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END) AS coupling,
+      CASE WHEN clone_lines = 0 THEN 0.0::DOUBLE ELSE p_clone END AS clones, p_lines AS size, CASE WHEN dead_lines = 0 THEN 0.0::DOUBLE ELSE p_dead END AS dead FROM cx)"""
+
+
+@query(f"""WITH {_SIG}, w AS (SELECT e, CASE WHEN test_units > 0 THEN 1.0::DOUBLE ELSE 1.15::DOUBLE END AS m,
+100 * (0.45::DOUBLE * hotspot + 0.15::DOUBLE * fixes + 0.15::DOUBLE * complexity + 0.1::DOUBLE * coupling + 0.1::DOUBLE * clones + 0.05::DOUBLE * size + 0.05::DOUBLE * dead) AS sub FROM v)
+SELECT e AS entity, round(sub, 6) AS subtotal, m AS test_multiplier, round(sub * m, 6) AS score FROM w""")
+def hotspot_score(s, d):
+    sig = _signals(s, d)
+    out = rank.scores(rank.contributions(sig, "entity"), sig, "entity")
+    return out.select("entity", F.round("subtotal", 6).alias("subtotal"), "test_multiplier", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_SIG}, u AS (
+SELECT e, 'hotspot' AS signal, hotspot AS x, 0.45::DOUBLE AS w FROM v UNION ALL SELECT e, 'fixes', fixes, 0.15 FROM v UNION ALL SELECT e, 'complexity', complexity, 0.15 FROM v
+UNION ALL SELECT e, 'coupling', coupling, 0.1 FROM v UNION ALL SELECT e, 'clones', clones, 0.1 FROM v UNION ALL SELECT e, 'size', size, 0.05 FROM v UNION ALL SELECT e, 'dead', dead, 0.05 FROM v
+UNION ALL SELECT e, unnest(['helpers', 'strings', 'clumps', 'declared', 'naming']), 0.0, 0.0 FROM v)
+SELECT e AS entity, signal, round(x, 9)::DOUBLE AS value, w::DOUBLE AS weight, round(100 * x * w, 6)::DOUBLE AS points FROM u""")
+def score_breakdown(s, d):
+    c = rank.contributions(_signals(s, d), "entity")
+    return c.select("entity", "signal", F.round("value", 9).alias("value"), "weight", F.round("points", 6).alias("points"))
+
+
+@query("""SELECT s_nationkey AS dir, count(*)::BIGINT AS members, round(sum(s_acctbal), 2) AS balance, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS largest, max(s_acctbal) AS largest_value FROM supplier GROUP BY 1""".replace("arg_max(s_suppkey, (s_acctbal, -s_suppkey))", "(SELECT y.s_suppkey FROM supplier y WHERE y.s_nationkey = supplier.s_nationkey ORDER BY y.s_acctbal DESC, y.s_suppkey LIMIT 1)"))
+def dir_rollup(s, d):
+    x = table(s, d, "supplier").withColumn("balance", F.col("s_acctbal"))
+    r = rank.rollup(x, "s_nationkey", "s_suppkey", "s_acctbal", ["balance"])
+    return r.select(F.col("s_nationkey").alias("dir"), "members", F.round("balance", 2).alias("balance"), "largest", "largest_value")
+
+
+@query("""WITH u AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_quantity DESC, l_orderkey, l_partkey, l_linenumber) AS rank FROM u)
+SELECT l_suppkey, rank::INT AS rank, l_orderkey, l_extendedprice FROM r WHERE rank <= 3""")
+def worst3_per_group(s, d):
+    u = table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity").distinct()
+    return rank.top_per_group(u, "l_suppkey", [F.desc("l_extendedprice"), F.desc("l_quantity"), "l_orderkey", "l_partkey", "l_linenumber"], 3).select("l_suppkey", "rank", "l_orderkey", "l_extendedprice")
+
+
+@query("SELECT p_partkey, percent_rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS pct FROM part")
+def percent_by_group(s, d):
+    p = table(s, d, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return rank.percentile(p, "p_partkey", ["p_retailprice"], ["p_brand"]).select("p_partkey", F.col("p_p_retailprice").alias("pct"))
+
+
+# ------------------------------------------------------------------ intervals
+
+def _seconds(s, d):
+    return table(s, d, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+
+
+_EP = "e AS (SELECT event_id, user_id, event_type, epoch(date_trunc('second', ts))::BIGINT AS s FROM events)"
+
+
+@query(f"""WITH {_EP}, o AS (SELECT user_id, s, s + 3599 AS f, max(s + 3599) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e)
+SELECT user_id, sum(f - greatest(s, coalesce(reach + 1, s)) + 1)::BIGINT AS covered FROM o GROUP BY user_id""")
+def line_coverage(s, d):
+    e = _seconds(s, d).withColumn("f", F.col("s") + 3599)
+    return intervals.union_length(e, "user_id", "s", "f")
+
+
+@query(f"""WITH {_EP}, m AS (SELECT user_id, s // 60 AS p, min(CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 ELSE 4 END) AS k FROM e
+WHERE event_type IN ('error', 'purchase', 'click', 'view') GROUP BY 1, 2)
+SELECT user_id, sum((k = 1)::INT)::BIGINT AS error, sum((k = 2)::INT)::BIGINT AS purchase, sum((k = 3)::INT)::BIGINT AS click, sum((k = 4)::INT)::BIGINT AS "view" FROM m GROUP BY 1""")
+def line_coverage_minus(s, d):
+    e = _seconds(s, d).withColumn("p", F.floor(F.col("s") / 60))
+    return intervals.disjoint_cover(e, "user_id", "p", "event_type", ["error", "purchase", "click", "view"])
+
+
+@query(f"""WITH {_EP}, g AS (SELECT user_id, s, lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS q FROM e),
+r AS (SELECT user_id, s - q AS gap, q, s, row_number() OVER (PARTITION BY user_id ORDER BY s - q DESC, q, s) AS rn FROM g WHERE q IS NOT NULL)
+SELECT user_id, gap AS max_gap, q AS gap_from, s AS gap_to FROM r WHERE rn = 1""")
+def max_use_gap(s, d):
+    return intervals.max_gap(_seconds(s, d), "user_id", "s", "event_id")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+b AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE length(line) < 20),
+n AS (SELECT doc_id, i FROM b WHERE p IS NULL OR i - p > 2), f AS (SELECT doc_id, max(i) AS eof FROM l GROUP BY 1),
+s AS (SELECT n.doc_id, i AS first, coalesce(lead(i) OVER (PARTITION BY n.doc_id ORDER BY i) - 1, eof) AS last FROM n JOIN f ON n.doc_id = f.doc_id)
+SELECT doc_id, first::INT AS first, last::INT AS last, (last - first + 1)::INT AS size FROM s""")
+def banner_sections(s, d):
+    l = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("b", F.length("line") < 20)
+    return intervals.sections(l, "doc_id", "i", "b")
+
+
+# ------------------------------------------------------------------ families
+
+_LINES = "l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)"
+
+
+def _lines(s, d):
+    return table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("line", F.trim("line"))
+
+
+@query(f"WITH {_LINES} SELECT line, count(DISTINCT doc_id)::BIGINT AS owners, count(*)::BIGINT AS occurrences FROM l WHERE length(line) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3")
+def message_families(s, d):
+    return families.families(_lines(s, d).where(F.length("line") >= 20), ["line"], "doc_id", 3)
+
+
+@query(r"""WITH m AS (SELECT page_id, trim(regexp_replace(lower(regexp_replace(url, '[0-9]+', '#', 'g')), '[ \t\n\r]+', ' ', 'g')) AS k FROM pages)
+SELECT k AS masked, count(DISTINCT page_id)::BIGINT AS owners, count(*)::BIGINT AS occurrences FROM m GROUP BY 1 HAVING count(DISTINCT page_id) >= 2""")
+def masked_families(s, d):
+    p = table(s, d, "pages").select("page_id", text.mask("url").alias("masked"))
+    return families.families(p, ["masked"], "page_id", 2)
+
+
+@query(rf"""WITH {_LINES}, t AS (SELECT line, min(doc_id) AS lo, max(doc_id) AS hi FROM l GROUP BY 1),
+w AS (SELECT line, lo, hi, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM t), w3 AS (SELECT line, lo, hi, list_distinct(w) AS w FROM w WHERE len(w) >= 3),
+x AS (SELECT line, lo, hi, w, unnest(w) AS word FROM w3), r AS (SELECT word FROM x GROUP BY word HAVING count(*) BETWEEN 2 AND 40),
+xr AS (SELECT x.* FROM x JOIN r ON x.word = r.word),
+p AS (SELECT DISTINCT a.line AS a, b.line AS b FROM xr a JOIN xr b ON a.word = b.word AND a.line < b.line WHERE least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)) AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)),
+c AS (SELECT p.a, p.b, count(*) AS n FROM p JOIN x u ON u.line = p.a JOIN x v ON v.line = p.b AND u.word = v.word GROUP BY 1, 2),
+j AS (SELECT c.a, c.b, n::DOUBLE / (len(x.w) + len(y.w) - n) AS j FROM c JOIN w3 x ON c.a = x.line JOIN w3 y ON c.b = y.line)
+SELECT md5(a) AS a, md5(b) AS b, round(j, 9) AS jaccard FROM j WHERE j >= 0.8 AND j < 1""")
+def near_messages(s, d):
+    l = _lines(s, d).where(F.length("line") > 0)
+    n = families.near_pairs(l.withColumn("line", F.col("line")), "line", "doc_id")
+    return n.select(F.md5("text_a").alias("a"), F.md5("text_b").alias("b"), F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][A-Z0-9_]{5,}')) AS x FROM documents),
+c AS (SELECT doc_id, x, CASE WHEN regexp_matches(x, '^[A-Z]+$') THEN 'word' WHEN regexp_matches(x, '[0-9]') THEN 'coded' ELSE 'name' END AS class FROM t)
+SELECT class, x AS literal, count(DISTINCT doc_id)::BIGINT AS owners, count(*)::BIGINT AS occurrences FROM c GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 2""")
+def config_literals(s, d):
+    t = table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Z0-9_]{5,}"), 0)).alias("literal"))
+    t = t.withColumn("class", F.coalesce(classify.first_class(F.col("literal"), [("word", "^[A-Z]+$"), ("coded", "[0-9]")]), F.lit("name")))
+    return families.families(t, ["class", "literal"], "doc_id", 2)
+
+
+@query("SELECT md5(text) AS text_md5, count(DISTINCT doc_id)::BIGINT AS owners, count(*)::BIGINT AS occurrences FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
+def exact_duplicates(s, d):
+    return families.families(table(s, d, "documents").select("doc_id", F.md5("text").alias("text_md5")), ["text_md5"], "doc_id", 2)
+
+
+# ------------------------------------------------------------------ clones
+
+def _doc_words(s, d):
+    return table(s, d, "documents").select("doc_id", F.filter(F.split("text", "[ \t\n\r\u000b\f]+"), lambda x: x != "").alias("w"))
+
+
+def _pairs12(s, d):
+    return clones.shared_grams(clones.kgrams(_doc_words(s, d), "doc_id", "w", 12), "doc_id", 40)
+
+
+_GR = r"""d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12),
+g AS (SELECT doc_id, s - 1 AS pos, md5(array_to_string(list_slice(w, s, s + 11), chr(31))) AS h FROM i),
+gd AS (SELECT DISTINCT doc_id, h FROM g), gf AS (SELECT h FROM gd GROUP BY h HAVING count(*) BETWEEN 2 AND 40), gk AS (SELECT gd.* FROM gd JOIN gf ON gd.h = gf.h),
+pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*)::BIGINT AS shared FROM gk x JOIN gk y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_GR} SELECT a, b, shared FROM pr")
+def kgram_pairs(s, d):
+    return _pairs12(s, d)
+
+
+@query(f"""WITH RECURSIVE {_GR}, e AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr),
+r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a)
+SELECT node, min(root) AS component FROM r GROUP BY node""")
+def clone_families(s, d):
+    return graph.components(_pairs12(s, d).select(F.col("a").alias("x"), F.col("b").alias("y")))
+
+
+@query(rf"""WITH {_GR}, f AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0),
+n5 AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 4), ' ') AS h FROM f), c5 AS (SELECT doc_id, count(*) AS n FROM n5 GROUP BY 1),
+ov AS (SELECT pr.a, pr.b, count(*) AS n FROM pr JOIN n5 x ON x.doc_id = pr.a JOIN n5 y ON y.doc_id = pr.b AND x.h = y.h GROUP BY 1, 2),
+j AS (SELECT ov.a, ov.b, ov.n::DOUBLE / (x.n + y.n - ov.n) AS j FROM ov JOIN c5 x ON ov.a = x.doc_id JOIN c5 y ON ov.b = y.doc_id)
+SELECT a, b, round(j, 9) AS jaccard FROM j WHERE j >= 0.5""")
+def similar_bodies(s, d):
+    return families.body_similarity(_doc_words(s, d), _pairs12(s, d), "doc_id", "w").withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query(f"""WITH {_GR}, n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+w AS (SELECT g.doc_id, g.pos, n.n, unnest(range(0, 8)) AS o FROM g JOIN n ON g.doc_id = n.doc_id WHERE g.pos <= n.n - 8 OR (n.n < 8 AND g.pos = 0)),
+c AS (SELECT w.doc_id, w.pos AS start, g.h, g.pos FROM w JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos + w.o),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY h, pos DESC) AS rn FROM c)
+SELECT doc_id, count(DISTINCT pos)::BIGINT AS fingerprints FROM r WHERE rn = 1 GROUP BY 1""")
+def winnowed_fingerprints(s, d):
+    g = clones.winnow(clones.kgrams(_doc_words(s, d), "doc_id", "w", 12), "doc_id", 8)
+    return g.groupBy("doc_id").agg(F.count("*").alias("fingerprints"))
+
+
+# ------------------------------------------------------------------ surface
+
+@query("""WITH s AS (SELECT item_id, text FROM benchmark), h AS (SELECT item_id, doc_id FROM s JOIN documents d ON contains(d.text, s.text))
+SELECT s.item_id, count(doc_id)::BIGINT AS units, count(doc_id) = 0 AS unmentioned FROM s LEFT JOIN h ON s.item_id = h.item_id GROUP BY s.item_id""")
+def mention_units(s, d):
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    hit = surface.contained_in(table(s, d, "documents").select("doc_id", "text"), b).withColumnRenamed("needle_id", "item_id")
+    b = b.select(F.col("needle_id").alias("item_id"))
+    n = hit.groupBy("item_id").agg(F.count("*").alias("units"))
+    return b.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("units", F.lit(0)).cast("long").alias("units"), F.col("units").isNull().alias("unmentioned"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS name, l_suppkey % 7 AS file, sum((l_returnflag = 'N' AND l_quantity > 45)::INT)::BIGINT AS prod, sum((l_returnflag = 'A' AND l_quantity > 40)::INT)::BIGINT AS test FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+t AS (SELECT name, sum(prod) AS ap, sum(test) AS tt FROM r GROUP BY 1), df AS (SELECT p_partkey AS name, p_partkey % 7 AS file FROM part),
+j AS (SELECT df.file, df.name, (coalesce(ap, 0) - coalesce(r.prod, 0))::BIGINT AS ext_prod, coalesce(r.prod, 0)::BIGINT AS own_prod, coalesce(tt, 0)::BIGINT AS test_refs FROM df LEFT JOIN t ON df.name = t.name LEFT JOIN r ON r.name = df.name AND r.file = df.file)
+SELECT file, name, ext_prod, own_prod, test_refs, CASE WHEN ext_prod > 0 THEN 'reachable' WHEN own_prod > 0 THEN 'overexported' WHEN test_refs = 0 THEN 'dead' WHEN test_refs >= 2 THEN 'test_only' ELSE 'reachable' END AS category FROM j""")
+def dead_categories(s, d):
+    defs = table(s, d, "part").select((F.col("p_partkey") % 7).alias("file"), F.col("p_partkey").alias("name"))
+    li = table(s, d, "lineitem")
+    refs = li.select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") % 7).alias("file"), ((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 45)).cast("long").alias("prod"), ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 40)).cast("long").alias("test"))
+    return surface.dead_categories(defs, refs).drop("samename")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+def orphans(s, d):
+    used = table(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
+    return surface.orphans(table(s, d, "part").select("p_partkey", "p_brand"), used, ["p_partkey"])
+
+
+@query(r"""WITH r AS (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS name FROM documents), t AS (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS name FROM conversations),
+g AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Z][a-z]{6,}')) AS name FROM pages),
+rc AS (SELECT name, count(*)::BIGINT AS reads FROM r GROUP BY 1), tc AS (SELECT name, count(*)::BIGINT AS test_mentions FROM t GROUP BY 1)
+SELECT rc.name, reads, test_mentions FROM rc JOIN tc ON rc.name = tc.name WHERE rc.name NOT IN (SELECT name FROM g)""")
+def env_seams(s, d):
+    names = lambda t, c: table(s, d, t).select(F.explode(F.regexp_extract_all(c, F.lit("[A-Z][a-z]{6,}"), 0)).alias("name"))
+    return surface.seams(names("documents", "text"), names("conversations", "text"), names("pages", "html"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS m, l_orderkey % 50 AS f, l_suppkey % 12 AS n FROM lineitem WHERE l_linenumber <= 7),
+q AS (SELECT m, f, n, row_number() OVER (PARTITION BY m ORDER BY n) AS i FROM p), k AS (SELECT m, f, 'n' || lpad(n::VARCHAR, 2, '0') AS n FROM q WHERE i <= 8),
+c3 AS (SELECT a.m, a.f, a.n || ',' || b.n || ',' || c.n AS names FROM k a JOIN k b ON a.m = b.m AND a.n < b.n JOIN k c ON a.m = c.m AND b.n < c.n)
+SELECT names, count(DISTINCT m)::BIGINT AS members, count(DISTINCT f)::BIGINT AS files FROM c3 GROUP BY 1 HAVING count(DISTINCT m) >= 40""")
+def param_clumps(s, d):
+    p = table(s, d, "lineitem").where("l_linenumber <= 7").select(F.col("l_orderkey").alias("member"), (F.col("l_orderkey") % 50).alias("file"), F.concat(F.lit("n"), F.lpad((F.col("l_suppkey") % 12).cast("string"), 2, "0")).alias("name")).distinct()
+    from pyspark.sql import Window
+
+    p = p.withColumn("slot", F.row_number().over(Window.partitionBy("member").orderBy("name")) - 1).withColumn("kind", F.lit("t"))
+    c = surface.clumps(p, "member", "file", "name", "kind", max_group=3, min_members=40, min_files=10**9)
+    return c.select(F.array_join("names", ",").alias("names"), "members", "files")
+
+
+# ------------------------------------------------------------------ graphs
+
+def _links(s, d):
+    p = table(s, d, "pages")
+    return p.select(F.col("page_id").cast("string").alias("x"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("y"))
+
+
+@query(r"""WITH e AS (SELECT DISTINCT page_id::VARCHAR AS x, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS y FROM pages),
+k AS (SELECT * FROM e WHERE x <> y), n AS (SELECT x AS node FROM k UNION SELECT y FROM k),
+i AS (SELECT y AS node, count(*)::BIGINT AS fan_in FROM k GROUP BY 1), o AS (SELECT x AS node, count(*)::BIGINT AS fan_out FROM k GROUP BY 1)
+SELECT n.node, coalesce(fan_in, 0)::BIGINT AS fan_in, coalesce(fan_out, 0)::BIGINT AS fan_out, coalesce(fan_out, 0)::DOUBLE / (coalesce(fan_in, 0) + coalesce(fan_out, 0)) AS instability
+FROM n LEFT JOIN i ON n.node = i.node LEFT JOIN o ON n.node = o.node""")
+def import_fan(s, d):
+    e = _links(s, d)
+    return graph.fan(e, e.select(F.col("x").alias("node")).unionAll(e.select("y")))
+
+
+_EV = "v AS (SELECT user_id, event_type AS x, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS y FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_EV}, e AS (SELECT DISTINCT x, y FROM v WHERE y IS NOT NULL AND x <> y), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+n AS (SELECT x AS node FROM e UNION SELECT y FROM e), m AS (SELECT a.x AS node, b.x AS other FROM r a JOIN r b ON a.y = b.x AND b.y = a.x)
+SELECT n.node, least(n.node, coalesce(min(m.other), n.node)) AS component FROM n LEFT JOIN m ON n.node = m.node GROUP BY n.node""")
+def event_scc(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").select(F.col("event_type").alias("x"), F.lead("event_type").over(w).alias("y")).where("y is not null").distinct()
+    return graph.strong_components(e)
+
+
+_TR = """tr AS (SELECT c_nationkey::BIGINT AS x, s_nationkey::BIGINT AS y, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+tk AS (SELECT * , row_number() OVER (ORDER BY n DESC, x, y) AS rn FROM tr WHERE x <> y), te AS (SELECT x, y FROM tk WHERE rn <= 120)"""
+
+
+def _trade(s, d):
+    li, o, c, su = (table(s, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(su, F.col("l_suppkey") == F.col("s_suppkey"))
+    t = j.groupBy(F.col("c_nationkey").cast("long").alias("x"), F.col("s_nationkey").cast("long").alias("y")).agg(F.count("*").alias("cost"))
+    return t.where("x <> y").orderBy(F.desc("cost"), "x", "y").limit(120)
+
+
+@query(f"""WITH RECURSIVE {_TR}, r AS (SELECT x, y FROM te UNION SELECT r.x, te.y FROM r JOIN te ON r.y = te.x),
+n AS (SELECT x AS node FROM te UNION SELECT y FROM te), m AS (SELECT a.x AS node, b.x AS other FROM r a JOIN r b ON a.y = b.x AND b.y = a.x)
+SELECT n.node, least(n.node, coalesce(min(m.other), n.node)) AS component FROM n LEFT JOIN m ON n.node = m.node GROUP BY n.node""")
+def trade_cycles(s, d):
+    return graph.strong_components(_trade(s, d).select("x", "y"))
+
+
+@query()
+def trade_cycle_cuts(s, d):
+    t = _trade(s, d)
+    return graph.cycle_cuts(t, graph.strong_components(t.select("x", "y")))
+
+
+@query(f"""WITH RECURSIVE {_TR}, seed AS (SELECT x AS node FROM te GROUP BY x HAVING count(*) >= 9),
+nodes AS (SELECT x AS node FROM te UNION SELECT y FROM te), alive AS (SELECT node FROM seed UNION SELECT te.x FROM te JOIN alive ON te.y = alive.node),
+noop AS (SELECT node FROM nodes WHERE node NOT IN (SELECT x FROM te) AND node NOT IN (SELECT node FROM alive)),
+rest AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM alive) AND node NOT IN (SELECT node FROM noop)),
+saved AS (SELECT te.x AS node FROM te JOIN rest ON te.x = rest.node WHERE te.y NOT IN (SELECT node FROM rest) UNION SELECT te.x FROM te JOIN saved ON te.y = saved.node JOIN rest ON te.x = rest.node)
+SELECT node, CASE WHEN node IN (SELECT node FROM alive) THEN 'alive' WHEN node IN (SELECT node FROM noop) THEN 'noop' WHEN node IN (SELECT node FROM rest) AND node NOT IN (SELECT node FROM saved) THEN 'dead' ELSE 'alive' END AS state FROM nodes""")
+def feature_liveness(s, d):
+    t = _trade(s, d).select(F.col("x").alias("node"), F.col("y").alias("element"))
+    lone = t.select(F.col("element").alias("node")).join(t.select("node"), "node", "left_anti").distinct().withColumn("element", F.lit(None).cast("long"))
+    seeds = t.groupBy("node").agg(F.count("*").alias("n")).where("n >= 9").select("node")
+    return graph.liveness(t.unionByName(lone), seeds)
+
+
+# ------------------------------------------------------------------ classification
+
+@query(r"""WITH k AS (SELECT doc_id, lower(text) AS t, len(string_split(text, chr(10))) AS n, length(text) AS c FROM documents)
+SELECT doc_id, CASE WHEN contains(t, 'license') THEN 'generated' WHEN contains(t, '@') THEN 'vendored' WHEN n >= 20 THEN 'data' WHEN c < 100 THEN 'test' ELSE 'source' END AS kind FROM k""")
+def classify_docs(s, d):
+    t = F.lower("text")
+    k = F.when(F.contains(t, F.lit("license")), "generated").when(F.contains(t, F.lit("@")), "vendored").when(F.size(F.split("text", "\n", -1)) >= 20, "data").when(F.length("text") < 100, "test").otherwise("source")
+    return table(s, d, "documents").select("doc_id", k.alias("kind"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE len(list_intersect(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['fix', 'bug', 'error', 'license', 'copyright'])) > 0")
+def fix_subjects(s, d):
+    return table(s, d, "documents").where(classify.is_fix(F.col("text"), ["fix", "bug", "error", "license", "copyright"])).select("doc_id")
+
+
+@query("SELECT lang, source, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
+def files_inventory(s, d):
+    return table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
