@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import sorted_unique
 from .common import LOWER, RangeHash, as_docs, chunks, word_bounds
 from .quality import _text_arrays, training_rows
 
@@ -235,11 +236,15 @@ def _fit(texts, y, max_windows, steps, batch, rate, decay, seed) -> Net | None:
     n1 = max(1.0, y.sum())
     odds = np.log((df1 + 0.5) / n1) - np.log((df - df1 + 0.5) / max(1.0, len(y) - n1))
     # and each character n-gram, which a word shares
-    gn = np.diff(bounds)[once.w]
-    gram = tri[np.repeat(bounds[:-1][once.w] - np.cumsum(gn) + gn, gn) + np.arange(gn.sum())]
-    pair = np.unique(np.repeat(once.r.to_numpy(), gn) << CHAR_BITS | gram)
-    g1 = np.bincount(pair & ((1 << CHAR_BITS) - 1), y[pair >> CHAR_BITS], minlength=1 << CHAR_BITS)
-    g = np.bincount(pair & ((1 << CHAR_BITS) - 1), minlength=1 << CHAR_BITS)
+    g1, g = np.zeros(1 << CHAR_BITS), np.zeros(1 << CHAR_BITS)
+    ow, orow = once.w.to_numpy(), once.r.to_numpy()
+    for lo in range(0, len(texts), 100):  # some documents at a time
+        i, j = np.searchsorted(orow, lo), np.searchsorted(orow, lo + 100)
+        gn = np.diff(bounds)[ow[i:j]]
+        gram = tri[np.repeat(bounds[:-1][ow[i:j]] - np.cumsum(gn) + gn, gn) + np.arange(gn.sum())]
+        pair = sorted_unique(np.repeat(orow[i:j], gn) << CHAR_BITS | gram)
+        g1 += np.bincount(pair & ((1 << CHAR_BITS) - 1), y[pair >> CHAR_BITS], minlength=1 << CHAR_BITS)
+        g += np.bincount(pair & ((1 << CHAR_BITS) - 1), minlength=1 << CHAR_BITS)
     godds = np.log((g1 + 0.5) / n1) - np.log((g - g1 + 0.5) / max(1.0, len(y) - n1))
     odds = np.maximum(odds, np.maximum.reduceat(godds[tri], bounds[:-1]))
     frequent = np.flatnonzero(df >= 3)
