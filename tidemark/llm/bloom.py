@@ -29,6 +29,12 @@ def positions(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(h + np.uint64(j) * step) * np.uint64(0xFF51AFD7ED558CCD) >> shift for j in range(HASHES)]).astype(np.int64)
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order (a sort is several times faster here than a hash table)."""
+    x = np.sort(x, kind="quicksort")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _pack(pos: np.ndarray, width: int) -> bytes:
     flags = np.zeros(width, bool)
     flags[pos] = True
@@ -38,7 +44,7 @@ def _pack(pos: np.ndarray, width: int) -> bytes:
 def emit(once: np.ndarray, twice: np.ndarray, bits: int, lane: int) -> pa.RecordBatch:
     """Segments of one task. once: its distinct hashes; twice: those of them it saw in two rows."""
     seg = min(bits, SEGMENT_BITS)
-    p, q = (np.unique(positions(x, bits).ravel()) for x in (once, twice))
+    p, q = (sorted_unique(positions(x, bits).ravel()) for x in (once, twice))
     cuts = np.arange(0, (1 << (bits - seg)) + 1, dtype=np.int64) << seg
     pc, qc = np.searchsorted(p, cuts), np.searchsorted(q, cuts)
     rows = [s for s in range(len(cuts) - 1) if pc[s + 1] > pc[s]]

@@ -1,7 +1,8 @@
 """Substring dedup with a compressed FM-index per shard.
 
-Candidate segments (see ``segments``) are dealt to shards by their key. A shard
-builds the suffix array of its distinct segments over word numbers, keeps the
+Candidate segments (see ``segments``), cut to the pieces whose windows occur more
+than once, are dealt to shards by their key. A shard
+builds the suffix array of its distinct pieces over word numbers, keeps the
 Burrows-Wheeler transform as a wavelet matrix (packed bits with block counts) and,
 by suffix rank, the smallest document that holds each segment. The segments are
 then streamed against the index by backward search, all in step: a window that
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_docs, word_bounds
-from .segments import candidate_segments, merged, removed_ranges
+from .common import RangeHash, as_docs, materialize, word_bounds
+from .segments import candidate_segments, merged, removed_ranges, segment_ranges, shared_pieces
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
@@ -159,7 +160,7 @@ def matches(index: Index, text: np.ndarray, starts: np.ndarray, lengths: np.ndar
 
 
 def _shard(w: int):
-    empty = pa.table({"key": pa.array([], pa.int64()), "d": pa.array([], pa.int64()), "ranges": pa.array([], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
+    empty = pa.table({"key": pa.array([], pa.int64()), "pd": pa.array([], pa.int64()), "ranges": pa.array([], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
 
     def run(table: pa.Table) -> pa.Table:
         raw = [x.as_py() for x in table["payload"]]
@@ -180,7 +181,7 @@ def _shard(w: int):
         is_word = np.ones(len(t), bool)
         is_word[ends] = False
         t[is_word] = words + m
-        docs = table["doc_id"].to_numpy()
+        docs = table["doc0"].to_numpy()
         rank = np.unique(docs, return_inverse=True)[1]
         index = Index(t, np.repeat(rank, n + 1))
         lane, a, b = matches(index, t, starts, n, rank, w)
@@ -192,7 +193,7 @@ def _shard(w: int):
         pieces = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(lane)), pa.int32()), pieces)
         at = pa.array(lane[cut])
-        return pa.table([table["key"].take(at), table["d"].take(at), lists], names=["key", "d", "ranges"])
+        return pa.table([table["key"].take(at), table["pd"].take(at), lists], names=["key", "pd", "ranges"])
 
     return run
 
@@ -218,19 +219,17 @@ def _rewrite(with_text: bool):
     return run
 
 
-def repeated_words(docs: DataFrame, window: int = 50, gram: int = 12, shard_words: int = 250_000) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 800_000) -> DataFrame:
     """(doc_id, ranges): the word ranges each document loses."""
     slim, distinct, text = candidate_segments(docs, "word", window, gram, within=False, tag="fm")
-    from .common import materialize
+    pieces, one = shared_pieces(materialize(text, "fm-text"), "word", window, "fm")
+    shards = max(1, -(-int(one.agg(F.coalesce(F.sum(F.col("n") + 1), F.lit(0))).first()[0]) // shard_words))
+    found = one.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window), "key long, pd long, ranges array<struct<a:long,b:long>>")
+    found = segment_ranges(pieces, one, materialize(found, "fm-found"), False, "fm")
+    return removed_ranges(slim, distinct, found, window, same_doc=False)
 
-    text = materialize(text, "fm-text")
-    symbols = text.agg(F.coalesce(F.sum(F.col("windows") + window), F.lit(0))).first()[0]
-    shards = max(1, -(-int(symbols) // shard_words))
-    found = text.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window), "key long, d long, ranges array<struct<a:long,b:long>>")
-    return removed_ranges(slim, distinct, materialize(found, "fm-found"), window, same_doc=False)
 
-
-def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 12, shard_words: int = 250_000, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 800_000, with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256."""
     gone = repeated_words(docs, window, gram, shard_words)
     return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)

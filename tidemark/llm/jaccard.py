@@ -208,7 +208,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bit
 
     def ids_task(batches):
         for b in batches:
-            h = mix(np.unique(np.concatenate([ints(b.column("a")), ints(b.column("b"))])).view(np.uint64))
+            h = mix(bloom.sorted_unique(np.concatenate([ints(b.column("a")), ints(b.column("b"))])).view(np.uint64))
             yield bloom.emit(h, h, wbits, TaskContext.get().partitionId())
 
     wanted = bloom.twice_filter(pairs.select("a", "b").mapInArrow(ids_task, bloom.SCHEMA), wbits)

@@ -87,6 +87,14 @@ def _minima(sym: Symbols, w: int, k: int):
     return row, at, m, g
 
 
+def minimizers(m: np.ndarray, g: np.ndarray, at: np.ndarray, w: int, k: int) -> np.ndarray:
+    """Which grams are some window's minimizer: the largest minimum over a gram's windows equals it."""
+    held = np.zeros(len(m) + 2 * (w - k), np.uint64)
+    held[at + (w - k)] = m[at]
+    top = _slide(held, w - k + 1, np.maximum)[: len(g)]
+    return top == g[: len(top)]
+
+
 def _keys_task(unit: str, w: int, k: int, bits: int, once_a_row: bool):
     def run(batches):
         seen = []
@@ -99,11 +107,7 @@ def _keys_task(unit: str, w: int, k: int, bits: int, once_a_row: bool):
                 row, at = row[ok], at[ok]
                 if not len(at):
                     continue
-                # a gram is some window's minimizer if the largest minimum over its windows equals it
-                held = np.zeros(len(m) + 2 * (w - k), np.uint64)
-                held[at + (w - k)] = m[at]
-                top = _slide(held, w - k + 1, np.maximum)[: len(g)]
-                where = np.flatnonzero(top == g[: len(top)])
+                where = np.flatnonzero(minimizers(m, g, at, w, k))
                 v = g[where]
                 if once_a_row:
                     r = np.searchsorted(sym.first, where, side="right")
@@ -121,12 +125,13 @@ def _keys_task(unit: str, w: int, k: int, bits: int, once_a_row: bool):
 
 
 def _runs(sym: Symbols, w: int, k: int, filt: np.ndarray, bits: int):
-    """Segments with a key in the filter: row, first window, number of windows, key."""
-    row, at, m, _ = _minima(sym, w, k)
+    """Segments with a key in the filter: row, first window, number of windows, key, and 1 if the
+    key's gram stands at two places inside (only then can a window repeat within the segment)."""
+    row, at, m, g = _minima(sym, w, k)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
-    v = m[at]
+        return z, z, z, np.zeros(0, np.uint64), z
+    v, at_all = m[at], at
     new = np.append(True, (v[1:] != v[:-1]) | (row[1:] != row[:-1]))
     s = np.flatnonzero(new)
     n = np.diff(np.append(s, len(at)))
@@ -137,11 +142,18 @@ def _runs(sym: Symbols, w: int, k: int, filt: np.ndarray, bits: int):
     part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     s2 = np.repeat(s, pieces) + part * MAX_RUN
     n2 = np.minimum(MAX_RUN, np.repeat(n, pieces) - part * MAX_RUN)
-    return row[s2], at[s2], n2, v[s2]
+    row, at, key = row[s2], at[s2], v[s2]
+    p = np.flatnonzero(minimizers(m, g, at_all, w, k))
+    i, j = np.searchsorted(p, at), np.searchsorted(p, at + n2 + (w - k))
+    same = np.zeros(len(at), np.int64)
+    for t in range(8):
+        q = np.minimum(i + t, max(0, len(p) - 1))
+        same += (i + t < j) & (g[p[q]] == key)
+    return row, at, n2, key, ((same > 1) | (j - i > 8)).astype(np.int64)
 
 
 def _slim_task(unit: str, w: int, k: int, bits: int, shared):
-    names = ["key", "d", "doc_id", "start", "windows"]
+    names = ["key", "d", "doc_id", "start", "windows", "multi"]
 
     def run(batches):
         filt = shared.value
@@ -149,11 +161,11 @@ def _slim_task(unit: str, w: int, k: int, bits: int, shared):
             ids = ints(b.column("doc_id"))
             for lo, to, data, offs in chunks(b):
                 sym = Symbols(data, offs, unit)
-                row, at, n, key = _runs(sym, w, k, filt, bits)
+                row, at, n, key, multi = _runs(sym, w, k, filt, bits)
                 ok = ids[lo:to][row] != _NONE
-                row, at, n, key = row[ok], at[ok], n[ok], key[ok]
+                row, at, n, key, multi = row[ok], at[ok], n[ok], key[ok], multi[ok]
                 d = sym.hash_of(at, at + n + w - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(as_long(d)), pa.array(ids[lo:to][row]), pa.array(at - sym.first[row]), pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(as_long(d)), pa.array(ids[lo:to][row]), pa.array(at - sym.first[row]), pa.array(n), pa.array(multi)], names=names)
 
     return run
 
@@ -167,7 +179,7 @@ def _text_task(unit: str, w: int, k: int, bits: int, shared):
             ids = ints(b.column("doc_id"))
             for lo, to, data, offs in chunks(b):
                 sym = Symbols(data, offs, unit)
-                row, at, n, key = _runs(sym, w, k, filt, bits)
+                row, at, n, key, _ = _runs(sym, w, k, filt, bits)
                 doc, start = ids[lo:to][row], at - sym.first[row]
                 ok = (doc != _NONE) & bloom.contains(wanted, wbits, place_hash(doc, start))
                 row, at, n, key, doc, start = row[ok], at[ok], n[ok], key[ok], doc[ok], start[ok]
@@ -196,17 +208,17 @@ def candidate_segments(docs: DataFrame, unit: str, w: int, k: int, within: bool,
     bits = pow2_at_least(16 * total_bytes(d, "text") / per, 14, max_filter_bits)
     filt = bloom.twice_filter(d.mapInArrow(_keys_task(unit, w, k, bits, not within), bloom.SCHEMA), bits)
     shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
-    slim = materialize(d.mapInArrow(_slim_task(unit, w, k, bits, shared), "key long, d long, doc_id long, start long, windows long"), f"{tag}-slim")
-    distinct = slim.groupBy("key", "d").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "start", "windows")).alias("f"))
-    distinct = materialize(distinct.select("key", "d", "rows", F.col("f.doc_id").alias("doc0"), F.col("f.start").alias("start0"), F.col("f.windows").alias("windows")), f"{tag}-distinct")
-    many = distinct.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("windows").alias("longest"))
-    several = (F.col("lo") != F.col("hi")) | (F.lit(within) & (F.col("longest") > 1))
+    slim = materialize(d.mapInArrow(_slim_task(unit, w, k, bits, shared), "key long, d long, doc_id long, start long, windows long, multi long"), f"{tag}-slim")
+    distinct = slim.groupBy("key", "d").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("multi").alias("multi"))
+    distinct = materialize(distinct.select("key", "d", "rows", F.col("f.doc_id").alias("doc0"), F.col("f.start").alias("start0"), F.col("f.windows").alias("windows"), "multi"), f"{tag}-distinct")
+    many = distinct.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("multi").alias("multi"))
+    several = (F.col("lo") != F.col("hi")) | (F.lit(within) & (F.col("multi") > 0))
     wanted_rows = materialize(distinct.join(many.where(several).select("key"), "key", "left_semi"), f"{tag}-wanted")
     wbits = pow2_at_least(16.0 * wanted_rows.count(), 14, max_filter_bits)
 
     def places(batches):
         for b in batches:
-            h = np.unique(place_hash(ints(b.column("doc0")), ints(b.column("start0"))))
+            h = bloom.sorted_unique(place_hash(ints(b.column("doc0")), ints(b.column("start0"))))
             yield bloom.emit(h, h, wbits, TaskContext.get().partitionId())
 
     wanted = bloom.twice_filter(wanted_rows.select("doc0", "start0").mapInArrow(places, bloom.SCHEMA), wbits)
@@ -218,6 +230,96 @@ def candidate_segments(docs: DataFrame, unit: str, w: int, k: int, within: bool,
     return slim, distinct, text
 
 
+def _window_hashes(b: pa.RecordBatch, unit: str, w: int):
+    """(rows of the chunk, symbols, segment of each window, its start, its hash) chunk by chunk."""
+    for lo, to, data, offs in chunks(b, "payload"):
+        sym = Symbols(data, offs, unit)
+        n = np.diff(sym.first)
+        count = np.maximum(0, n - w + 1)
+        row = np.repeat(np.arange(len(n)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(sym.first[:-1], count)
+        yield lo, sym, row, at, sym.hash_of(at, at + w)
+
+
+def _windows_seen(unit: str, w: int, bits: int):
+    def run(batches):
+        seen = [h for b in batches for *_, h in _window_hashes(b, unit, w)]
+        if seen:
+            once, n = np.unique(np.concatenate(seen), return_counts=True)
+            if len(once):
+                yield bloom.emit(once, once[n > 1], bits, TaskContext.get().partitionId())
+
+    return run
+
+
+def _pieces_task(unit: str, w: int, bits: int, shared):
+    names = ["key", "d", "doc_id", "start", "off", "n", "pd", "payload"]
+
+    def run(batches):
+        filt = shared.value
+        for b in batches:
+            for lo, sym, row, at, h in _window_hashes(b, unit, w):
+                hit = np.flatnonzero(bloom.contains(filt, bits, h))
+                if not len(hit):
+                    continue
+                new = np.append(True, (np.diff(at[hit]) != 1) | (np.diff(row[hit]) != 0))
+                s = np.flatnonzero(new)
+                e = np.append(s[1:], len(hit)) - 1
+                a, z, r = at[hit[s]], at[hit[e]] + w, row[hit[s]]
+                off = a - sym.first[r]
+                src = pa.array(r + lo)
+                start = b.column("start").take(src).to_numpy() + off
+                text = [sym.payload(i, j) for i, j in zip(a, z)]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(src), b.column("d").take(src), b.column("doc_id").take(src), pa.array(start), pa.array(off), pa.array(z - a), pa.array(as_long(sym.hash_of(a, z))), pa.array(text, pa.binary())], names=names)
+
+    return run
+
+
+def shared_pieces(text: DataFrame, unit: str, w: int, tag: str, max_filter_bits: int = 29):
+    """(pieces, distinct): the parts of the segments whose windows occur more than once.
+
+    A third pair of Bloom filters, over the windows of the distinct segments, cuts away what
+    only neighbours repeats; equal pieces (a passage inside many different surroundings) are
+    collapsed again. pieces: key, d, doc_id, start, off, n, pd; distinct: key, pd, rows, first
+    (doc0, start0), n, payload.
+    """
+    spark = text.sparkSession
+    n = text.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    bits = pow2_at_least(16.0 * int(n), 14, max_filter_bits)
+    filt = bloom.twice_filter(text.mapInArrow(_windows_seen(unit, w, bits), bloom.SCHEMA), bits)
+    shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
+    pieces = materialize(text.mapInArrow(_pieces_task(unit, w, bits, shared), "key long, d long, doc_id long, start long, off long, n long, pd long, payload binary"), f"{tag}-pieces")
+    one = pieces.groupBy("key", "pd").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"), F.first("payload").alias("payload"))
+    one = materialize(one.select("key", "pd", "rows", F.col("f.doc_id").alias("doc0"), F.col("f.start").alias("start0"), "n", "payload"), f"{tag}-one")
+    return pieces.drop("payload"), one
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join with a right side that has one row a key and the left rows of each key in ``rows``.
+
+    Keys with a thousandth of all left rows or more (at most 1,000) are broadcast, so no task
+    gathers them; the rest is joined by shuffle.
+    """
+    heavy = max(1000, total // 1000)
+    hot, cold = right.where(F.col("rows") >= heavy), right.where(F.col("rows") < heavy)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
+def _later(same_doc: bool):
+    return (F.col("doc_id") > F.col("doc0")) | (F.lit(same_doc) & (F.col("doc_id") == F.col("doc0")) & (F.col("start") > F.col("start0")))
+
+
+def segment_ranges(pieces: DataFrame, one: DataFrame, found: DataFrame, same_doc: bool, tag: str) -> DataFrame:
+    """(key, d, ranges) of the distinct segments from (key, pd, ranges) of the distinct pieces."""
+    known = one.drop("payload", "n").join(found, ["key", "pd"], "left")
+    met = hot_join(pieces, known, ["key", "pd"], pieces.count())
+    whole = F.array(F.struct(F.col("off").alias("a"), (F.col("off") + F.col("n")).alias("b")))
+    own = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("off")).alias("a"), (r["b"] + F.col("off")).alias("b")))
+    r = met.select("key", "d", F.when(_later(same_doc), whole).otherwise(own).alias("r")).where("r is not null")
+    return materialize(r.groupBy("key", "d").agg(F.flatten(F.collect_list("r")).alias("ranges")), f"{tag}-ranges")
+
+
 def removed_ranges(slim: DataFrame, distinct: DataFrame, found: DataFrame, w: int, same_doc: bool) -> DataFrame:
     """(doc_id, ranges): symbol ranges each document loses.
 
@@ -225,18 +327,11 @@ def removed_ranges(slim: DataFrame, distinct: DataFrame, found: DataFrame, w: in
     within the segment. A later place loses the whole segment; a place in the first
     document does so only if ``same_doc`` counts.
     """
-    known = distinct.join(found, ["key", "d"], "left").where("rows > 1 or ranges is not null")
-    total = slim.count()
-    heavy = max(1000, total // 1000)  # at most 1,000 segments can be this frequent
-    hot = F.broadcast(known.where(F.col("rows") >= heavy))
-    cold = known.where(F.col("rows") < heavy)
-    keys = ["key", "d"]
-    left = slim.select("key", "d", "doc_id", "start")
-    met = left.join(hot, keys).unionByName(left.join(F.broadcast(known.where(F.col("rows") >= heavy).select(*keys)), keys, "left_anti").join(cold, keys))
-    later = (F.col("doc_id") > F.col("doc0")) | (F.lit(same_doc) & (F.col("doc_id") == F.col("doc0")) & (F.col("start") > F.col("start0")))
+    known = distinct.drop("multi").join(found, ["key", "d"], "left").where("rows > 1 or ranges is not null")
+    met = hot_join(slim.select("key", "d", "doc_id", "start"), known, ["key", "d"], slim.count())
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + (w - 1)).alias("b")))
     own = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
-    r = met.select("doc_id", F.when(later, whole).otherwise(own).alias("r")).where("r is not null")
+    r = met.select("doc_id", F.when(_later(same_doc), whole).otherwise(own).alias("r")).where("r is not null")
     return r.groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
 

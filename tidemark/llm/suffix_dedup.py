@@ -1,7 +1,8 @@
 """Suffix-array dedup: drops every byte of a long byte string that also starts earlier.
 
-Candidate segments (see ``segments``, over bytes) are dealt to shards by their key; a
-shard sorts all suffixes of its distinct segments by external induced sorting (see
+Candidate segments (see ``segments``, over bytes), cut to the pieces whose windows
+occur more than once, are dealt to shards by their key; a shard sorts all suffixes
+of its distinct pieces by external induced sorting (see
 ``suffix_sort``: disk-backed queues that carry suffix tuples and common-prefix
 values, recursively), so a shard may be far larger than memory. Suffixes whose
 common prefix reaches ``window`` bytes are one group: its earliest place stays, the
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_docs, materialize
-from .segments import candidate_segments, merged, removed_ranges
+from .segments import candidate_segments, merged, removed_ranges, segment_ranges, shared_pieces
 from .suffix_sort import sorted_suffixes
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -72,7 +73,7 @@ def covered_windows(parts: np.ndarray, bounds: np.ndarray, place: np.ndarray, w:
 
 def _shard(w: int, memory_symbols: int, memory_entries: int):
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    empty = pa.table({"key": pa.array([], pa.int64()), "d": pa.array([], pa.int64()), "ranges": pa.array([], kind)})
+    empty = pa.table({"key": pa.array([], pa.int64()), "pd": pa.array([], pa.int64()), "ranges": pa.array([], kind)})
 
     def run(table: pa.Table) -> pa.Table:
         raw = [x.as_py() for x in table["payload"]]
@@ -81,8 +82,8 @@ def _shard(w: int, memory_symbols: int, memory_entries: int):
         bounds = np.concatenate([[0], np.cumsum(n)])
         del raw
         inside = np.arange(len(parts)) - np.repeat(bounds[:-1], n)
-        doc = np.unique(table["doc_id"].to_numpy(), return_inverse=True)[1]
-        at = np.repeat(table["start"].to_numpy(), n) + inside
+        doc = np.unique(table["doc0"].to_numpy(), return_inverse=True)[1]
+        at = np.repeat(table["start0"].to_numpy(), n) + inside
         place = np.repeat(doc, n) * (int(at.max(initial=0)) + 1) + at
         gone = covered_windows(parts, bounds, place, w, memory_symbols, memory_entries)
         hit = np.flatnonzero(gone)
@@ -97,7 +98,7 @@ def _shard(w: int, memory_symbols: int, memory_entries: int):
         cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
         lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(p)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]))
         rows = pa.array(p[cut])
-        return pa.table([table["key"].take(rows), table["d"].take(rows), lists], names=["key", "d", "ranges"])
+        return pa.table([table["key"].take(rows), table["pd"].take(rows), lists], names=["key", "pd", "ranges"])
 
     return run
 
@@ -122,17 +123,17 @@ def _rewrite(with_text: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 1_500_000, memory_symbols: int = 1 << 21, memory_entries: int = 1 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 48, shard_bytes: int = 1_500_000, memory_symbols: int = 1 << 21, memory_entries: int = 1 << 20) -> DataFrame:
     """(doc_id, ranges): the byte ranges each document loses."""
     slim, distinct, text = candidate_segments(docs, "byte", window, gram, within=True, tag="sa")
-    text = materialize(text, "sa-text")
-    size = text.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
-    shards = max(1, -(-int(size) // shard_bytes))
-    found = text.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window, memory_symbols, memory_entries), "key long, d long, ranges array<struct<a:long,b:long>>")
-    return removed_ranges(slim, distinct, materialize(found, "sa-found"), window, same_doc=True)
+    pieces, one = shared_pieces(materialize(text, "sa-text"), "byte", window, "sa")
+    shards = max(1, -(-int(one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // shard_bytes))
+    found = one.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window, memory_symbols, memory_entries), "key long, pd long, ranges array<struct<a:long,b:long>>")
+    found = segment_ranges(pieces, one, materialize(found, "sa-found"), True, "sa")
+    return removed_ranges(slim, distinct, found, window, same_doc=True)
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, with_text: bool = True, **options) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 48, with_text: bool = True, **options) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256."""
     gone = repeated_bytes(docs, window, gram, **options)
     return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)

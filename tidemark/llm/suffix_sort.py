@@ -34,32 +34,35 @@ class BucketQueue:
 
     def __init__(self, folder: str, limit: int, rising: bool):
         self.folder, self.limit, self.sign = folder, limit, 1 if rising else -1
-        self.memory: list[np.ndarray] = []
+        self.memory: dict[int, list[np.ndarray]] = {}
         self.held = 0
         self.now: list[np.ndarray] = []
         self.symbol = None
         self.runs: list[list] = []
 
-    def _sorted(self) -> np.ndarray:
-        x = np.concatenate(self.memory) if self.memory else np.zeros(0, self.KIND)
-        return x[np.argsort(x["s"] * self.sign, kind="stable")]
-
     def push(self, s: np.ndarray, p: np.ndarray, lcp: np.ndarray) -> None:
+        """Tuples in order of arrival within each symbol; s need not be sorted."""
         if not len(s):
             return
+        order = np.argsort(s, kind="stable")
         x = np.empty(len(s), self.KIND)
-        x["s"], x["p"], x["l"] = s, p, lcp
-        same = x["s"] == self.symbol if self.symbol is not None else np.zeros(len(x), bool)
-        if same.any():
-            self.now.append(x[same])
-            x = x[~same]
-        self.memory.append(x)
-        self.held += len(x)
+        x["s"], x["p"], x["l"] = s[order], p[order], lcp[order]
+        cut = np.flatnonzero(np.append(True, x["s"][1:] != x["s"][:-1]))
+        for a, b in zip(cut, np.append(cut[1:], len(x))):
+            c = int(x["s"][a])
+            if c == self.symbol:
+                self.now.append(x[a:b])
+            else:
+                self.memory.setdefault(c, []).append(x[a:b])
+                self.held += b - a
         if self.held > self.limit:
             path = os.path.join(self.folder, f"run-{id(self)}-{len(self.runs)}")
-            self._sorted().tofile(path)
+            with open(path, "wb") as out:
+                for c in sorted(self.memory, key=lambda v: v * self.sign):
+                    for piece in self.memory[c]:
+                        piece.tofile(out)
             self.runs.append([open(path, "rb"), np.zeros(0, self.KIND), path])
-            self.memory, self.held = [], 0
+            self.memory, self.held = {}, 0
 
     def open(self, symbol: int) -> None:
         """From now on pop() gives the tuples of this symbol, those pushed meanwhile too."""
@@ -77,12 +80,11 @@ class BucketQueue:
                 r[1] = r[1][n:]
                 if not full:
                     break
-        if self.held:
-            x = self._sorted()
-            n = int(np.searchsorted(x["s"] * self.sign, symbol * self.sign, side="right"))
-            if n:
-                self.now.append(x[:n])
-            self.memory, self.held = [x[n:]], len(x) - n
+        pieces = self.memory.pop(symbol, None)
+        if pieces:
+            x = np.concatenate(pieces) if len(pieces) > 1 else pieces[0]
+            self.held -= len(x)
+            self.now.append(x)
 
     def pop(self):
         if not self.now:
@@ -93,9 +95,6 @@ class BucketQueue:
             x = x[:BLOCK]
         return x
 
-    def symbols_left(self) -> bool:
-        return bool(self.held or self.now or any(len(r[1]) or r[0].tell() < os.fstat(r[0].fileno()).st_size for r in self.runs))
-
     def close(self) -> None:
         for f, _, path in self.runs:
             f.close()
