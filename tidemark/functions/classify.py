@@ -10,6 +10,11 @@ VENDOR = ["node_modules", "vendor", "third_party", "thirdparty", "dist", "build"
 TESTS = ["test", "tests", "__tests__", "e2e", "spec", "specs", "testing", "testutils", "test_utils", "testutil", "test_util", "testsupport", "test_support"]
 DATA = ["fixtures", "fixture", "snapshots", "__snapshots__", "testdata"]
 GENERATED = ["migrations", "generated", "__generated__", "gen"]
+FIX_WORDS = (
+    "fix fixes fixed fixing bugfix bugfixes hotfix hotfixes bug bugs buggy regression regressions regress regressed broke broken "
+    "crash crashes crashed crashing repair repairs repaired correct corrects corrected correction patch patched wrong incorrect flake flaky flakey"
+).split()
+BOTS = ["[bot]", "dependabot", "renovate", "pre-commit-ci"]
 MARKERS = ["@generated", "code generated", "do not edit", "auto-generated", "autogenerated"]
 TEST_SUFFIXES = ["_test", ".test", ".spec", ".snapshots", "Probes"]
 
@@ -31,7 +36,7 @@ def has_marker(content, lines: int = 8) -> F.Column:
 def logic_density(content) -> F.Column:
     """Lines with control flow over lines that are neither blank nor comments."""
     code = F.filter(F.split(content, "\n"), lambda x: F.rlike(x, F.lit(r"\S")) & ~F.rlike(x, F.lit(r"^\s*(#|//|/\*|\*)")))
-    logic = F.filter(code, lambda x: F.rlike(x, F.lit(r"\b(if|else|elif|for|while|match|switch|case|return|try|catch|except|def|fn|function|class)\b|=>")))
+    logic = F.filter(code, lambda x: F.rlike(x, F.lit(r"\b(if|for|while|return|def|fn|function|class|match|switch|try|elif|else|yield|await|impl)\b|=>")))
     return F.when(F.size(code) > 0, F.size(logic) / F.size(code)).otherwise(F.lit(0.0))
 
 

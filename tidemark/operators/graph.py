@@ -39,8 +39,8 @@ def reachable(edges: DataFrame, rounds: int = 100) -> DataFrame:
     e = cut(edges.select("x", "y").distinct())
     all_, new = e, e
     for _ in range(rounds):
-        step = new.alias("a").join(e.alias("b"), F.expr("a.y = b.x")).select("a.x", "b.y").distinct()
-        new = cut(step.join(all_, ["x", "y"], "left_anti"))
+        step = new.toDF("x", "m").join(e.toDF("m", "y"), "m").select("x", "y").distinct()
+        new = cut(step.join(all_.toDF("ax", "ay"), F.expr("x = ax and y = ay"), "left_anti"))
         if new.isEmpty():
             return all_
         all_ = cut(all_.unionAll(new))

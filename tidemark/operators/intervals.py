@@ -31,7 +31,7 @@ def max_gap(df: DataFrame, group: str, at: str, tie: str) -> DataFrame:
     w = Window.partitionBy(group).orderBy(at, tie)
     d = df.withColumn("__prev", F.lag(at).over(w)).where("__prev is not null").withColumn("__gap", F.col(at) - F.col("__prev"))
     first = F.max_by(F.struct(F.col("__prev").alias("gap_from"), F.col(at).alias("gap_to")), F.struct("__gap", -F.col("__prev"), -F.col(at)))
-    return d.groupBy(group).agg(F.max("__gap").alias("max_gap"), first.alias("g")).select(group, "max_gap", "g.gap_from", "g.gap_to")
+    return d.groupBy(group).agg(F.max("__gap").alias("max_gap"), first.alias("__g")).select(group, "max_gap", "__g.gap_from", "__g.gap_to")
 
 
 def sections(lines: DataFrame, group: str, line: str, is_boundary: str, pair_gap: int = 2) -> DataFrame:
