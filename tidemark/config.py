@@ -100,8 +100,8 @@ class Config:
     @classmethod
     def load(cls, root: str | Path, explicit: str | Path | None = None) -> "Config":
         cfg = cls()
-        for path in (Path(root) / FILE_NAME, Path(explicit) if explicit else None):
-            if path and (path.is_file() or path == explicit):
+        for path, must in ((Path(root) / FILE_NAME, False), (Path(explicit) if explicit else None, True)):
+            if path and (must or path.is_file()):
                 cfg = cfg.overlaid(tomllib.loads(path.read_text()), str(path))
         return cfg
 

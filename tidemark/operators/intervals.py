@@ -42,3 +42,35 @@ def sections(lines: DataFrame, group: str, line: str, is_boundary: str, pair_gap
     eof = lines.groupBy(group).agg(F.max(line).alias("eof"))
     s = b.withColumn("next", F.lead("l").over(w)).join(eof, group)
     return s.select(group, F.col("l").alias("first"), F.coalesce(F.col("next") - 1, "eof").alias("last")).withColumn("size", F.col("last") - F.col("first") + 1)
+
+
+def drop_contained(df: DataFrame, group: str, start: str, end: str) -> DataFrame:
+    """Rows whose interval does not lie inside an earlier one that stays (earlier starts first, longer first on ties)."""
+    w = Window.partitionBy(group).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("__reach", F.max(end).over(w)).where(F.col("__reach").isNull() | (F.col(end) > F.col("__reach"))).drop("__reach")
+
+
+def longest_stretch(df: DataFrame, group: str, order: list[str], kind: str) -> DataFrame:
+    """(group, kind, length): the longest run of consecutive rows of one kind, the first on ties."""
+    w = Window.partitionBy(group).orderBy(*order)
+    d = df.withColumn("__n", F.row_number().over(w)).withColumn("__new", (F.lag(kind).over(w).isNull() | ~F.lag(kind).over(w).eqNullSafe(F.col(kind))).cast("int"))
+    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = d.groupBy(group, "__run").agg(F.first(kind).alias(kind), F.count("*").alias("length"))
+    return r.groupBy(group).agg(F.max_by(F.struct(kind, "length"), F.struct("length", -F.col("__run"))).alias("__b")).select(group, f"__b.{kind}", "__b.length")
+
+
+def elide_repeats(df: DataFrame, group: str, order: list[str], path: str) -> DataFrame:
+    """path set to null where it equals the row before it."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return df.withColumn(path, F.when(F.lag(path).over(w).eqNullSafe(F.col(path)), None).otherwise(F.col(path)))
+
+
+def best_overlap(sides: DataFrame, units: DataFrame, key: str, side: str, share: float = 0.5) -> DataFrame:
+    """(key, side, unit): the unit that holds a side (start, end) whole, the smallest first, else the one with
+    more than ``share`` of it. units: key, unit, u_start, u_end; both sides closed intervals, joined on key."""
+    j = sides.join(units, key).where((F.col("u_start") <= F.col("end")) & (F.col("u_end") >= F.col("start")))
+    inner = F.least("end", "u_end") - F.greatest("start", "u_start") + 1
+    whole = (F.col("u_start") <= F.col("start")) & (F.col("u_end") >= F.col("end"))
+    j = j.withColumn("__o", inner).where(whole | (F.col("__o") > F.lit(share) * (F.col("end") - F.col("start") + 1)))
+    best = F.max_by("unit", F.struct(whole.cast("int"), "__o", -(F.col("u_end") - F.col("u_start")), -F.col("u_start")))
+    return j.groupBy(key, side).agg(best.alias("unit"))

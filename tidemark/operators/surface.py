@@ -115,3 +115,35 @@ def innermost(points: DataFrame, spans: DataFrame, key: str, at: str) -> DataFra
     """points with the name of the smallest span (start, end, name) of the same key that holds them, the latest start on ties."""
     j = points.join(spans, key).where((F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end")))
     return j.groupBy(key, at).agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("name"))
+
+
+def modal_share(df: DataFrame, group: str, shape: str) -> DataFrame:
+    """(group, shape, share): the most frequent shape of a group, the first by name on ties, and its share."""
+    n = df.groupBy(group, shape).agg(F.count("*").alias("n"))
+    g = n.groupBy(group).agg(F.max("n").alias("m"), F.sum("n").alias("t"))
+    top = n.join(g, group).where("n = m").groupBy(group).agg(F.min(shape).alias(shape), F.max(F.col("n") / F.col("t")).alias("share"))
+    return top.select(group, shape, "share")
+
+
+def extents(df: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """(keys, first, last): the lines a reference spans."""
+    return df.groupBy(*keys).agg(F.min(line).alias("first"), F.max(line).alias("last"))
+
+
+def first_seen(df: DataFrame, key: str, at: str, what: str) -> DataFrame:
+    """(key, what, at): the oldest row of each key, the smallest on ties."""
+    return df.groupBy(key).agg(F.min(F.struct(at, what)).alias("m")).select(key, f"m.{what}", f"m.{at}")
+
+
+def lone_caller(members: DataFrame, calls: DataFrame) -> DataFrame:
+    """(set, caller): sets whose members are all called by one caller only. members: set, name; calls: caller, name."""
+    c = members.join(calls.select("caller", "name").distinct(), "name").groupBy("set").agg(F.countDistinct("name").alias("called"), F.countDistinct("caller").alias("callers"), F.min("caller").alias("caller"))
+    n = members.groupBy("set").agg(F.countDistinct("name").alias("names"))
+    return c.join(n, "set").where("callers = 1 and called = names").select("set", "caller")
+
+
+def stem_matches(tests: DataFrame, sources: DataFrame) -> DataFrame:
+    """(test, source): same stem and the test's scope is the source's directory or above. tests: test, stem, scope;
+    sources: source, stem, dir."""
+    j = tests.join(sources, "stem")
+    return j.where((F.col("dir") == F.col("scope")) | (F.col("scope") == "") | F.startswith("dir", F.concat("scope", F.lit("/")))).select("test", "source")

@@ -483,3 +483,73 @@ def fix_subjects(s, d):
 @query("SELECT lang, source, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2")
 def files_inventory(s, d):
     return table(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+
+
+# ------------------------------------------------------------------ further shapes
+
+@query(f"""WITH {_EP}, g AS (SELECT user_id, event_id, s, s + (event_id % 7) * 9000 AS f FROM e),
+r AS (SELECT *, max(f) OVER (PARTITION BY user_id ORDER BY s, f DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g)
+SELECT user_id, s, f FROM r WHERE reach IS NULL OR f > reach""")
+def outer_intervals(s, d):
+    e = _seconds(s, d).withColumn("f", F.col("s") + (F.col("event_id") % 7) * 9000)
+    return intervals.drop_contained(e.select("user_id", "s", "f"), "user_id", "s", "f")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_type, n - k AS g, count(*)::BIGINT AS length, min(n) AS first FROM e GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, first) AS rn FROM r) SELECT user_id, event_type, length FROM t WHERE rn = 1""")
+def longest_stretch(s, d):
+    return intervals.longest_stretch(table(s, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT event_id, CASE WHEN event_type = p THEN NULL ELSE event_type END AS event_type FROM e""")
+def elided_sites(s, d):
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return intervals.elide_repeats(e, "user_id", ["ts", "event_id"], "event_type").select("event_id", "event_type")
+
+
+@query("""WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), g AS (SELECT p_brand, max(n) AS m, sum(n) AS t FROM n GROUP BY 1)
+SELECT n.p_brand, min(n.p_type) AS p_type, max(n.n::DOUBLE / g.t) AS share FROM n JOIN g ON n.p_brand = g.p_brand WHERE n.n = g.m GROUP BY 1""")
+def modal_shape(s, d):
+    return surface.modal_share(table(s, d, "part").select("p_brand", "p_type"), "p_brand", "p_type")
+
+
+@query("SELECT l_suppkey, l_returnflag, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY 1, 2")
+def reference_extents(s, d):
+    return surface.extents(table(s, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_linenumber")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders)
+SELECT o_custkey, o_orderkey, o_orderdate FROM r WHERE rn = 1""")
+def first_commit(s, d):
+    return surface.first_seen(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS n FROM lineitem), c AS (SELECT s_suppkey AS n, s_nationkey AS caller FROM supplier)
+SELECT m.s AS "set", min(c.caller) AS caller FROM m JOIN c ON m.n = c.n GROUP BY 1 HAVING count(DISTINCT c.caller) = 1""")
+def lone_callers(s, d):
+    m = table(s, d, "lineitem").select(F.col("l_orderkey").alias("set"), F.col("l_suppkey").alias("name")).distinct()
+    return surface.lone_caller(m, table(s, d, "supplier").select(F.col("s_nationkey").alias("caller"), F.col("s_suppkey").alias("name")))
+
+
+@query(f"""WITH {_EP}, u AS (SELECT user_id AS k, event_id AS unit, s - 20000 AS us, s + 20000 AS ue FROM e WHERE event_type = 'purchase'),
+v AS (SELECT user_id AS k, event_id AS side, s AS a, s + 9000 AS b FROM e WHERE event_type = 'error'),
+j AS (SELECT v.k, side, unit, (us <= a AND ue >= b)::INT AS whole, least(b, ue) - greatest(a, us) + 1 AS o, ue - us AS l, us, b - a + 1 AS n FROM v JOIN u ON v.k = u.k AND us <= b AND ue >= a),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, side ORDER BY whole DESC, o DESC, l, us) AS rn FROM j WHERE whole = 1 OR o > 0.5 * n)
+SELECT k, side, unit FROM r WHERE rn = 1""")
+def best_scope(s, d):
+    e = _seconds(s, d)
+    u = e.where("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.col("event_id").alias("unit"), (F.col("s") - 20000).alias("u_start"), (F.col("s") + 20000).alias("u_end"))
+    v = e.where("event_type = 'error'").select(F.col("user_id").alias("k"), F.col("event_id").alias("side"), F.col("s").alias("start"), (F.col("s") + 9000).alias("end"))
+    return intervals.best_overlap(v, u, "k", "side")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, value, event_type FROM events),
+r AS (SELECT event_id, user_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_signup FROM e)
+SELECT event_id, last_signup FROM r WHERE event_type = 'purchase'""")
+def preceding_item(s, d):
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    right = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("last_signup"))
+    return surface.as_of(left, right, "user_id", "ts", "last_signup").select("event_id", "last_signup")
