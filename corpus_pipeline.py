@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _remove, fresh_path
+from tidemark.llm.common import fresh_path, remove, remove_at_end
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.line_dedup import dropped_lines
@@ -80,8 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES[:-1]:
         path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
+        remove_at_end(spark, path)
         docs = spark.read.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,7 +3,6 @@ access from Arrow batches, and vectorised 64-bit hashing of byte ranges."""
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -31,19 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be over already
-        pass
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """The path goes when the driver's JVM ends."""
+    fs, p = _file(spark, path)
+    fs.deleteOnExit(p)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -51,6 +55,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,9 @@ document's score is its highest window's, put on a probability scale by a logist
 fit on the training documents. All windows of all whole texts are scored.
 
 Everything is trained in numpy, on the driver, on at most ``max_labels`` labelled
-documents (a documented bound: taken by the order of a hash of doc_id, no class more
-than half) and at most ``max_windows`` windows of each. Labels say which document is
+documents of up to ``max_label_bytes`` bytes (documented bounds of the sample: taken
+by the order of a hash of doc_id, no class more than half) and at most
+``max_windows`` windows of each. Labels say which document is
 toxic, not where: training begins at the window with the most telling word and then
 follows the window the network itself scores highest. Labels of documents in the
 held-out fold (crc32 of doc_id as text, modulo 4, is 2) are never learned from;
@@ -366,10 +367,10 @@ def _score_task(shared):
     return run
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = 3000, folds: int = 4, held: int = 2) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_labels: int = 3000, max_label_bytes: int = 60_000, folds: int = 4, held: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, "toxic", folds, held, max_labels).toArrow()
+    rows = training_rows(docs, labels, "toxic", folds, held, max_labels).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_label_bytes).toArrow()
     order = np.lexsort((rows["y"].to_numpy(), rows["doc_id"].to_numpy())) if len(rows) else []
     texts = rows["text"].to_pylist()
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, remove_at_end
 
 MAGIC = b"\x1f\x8b\x08"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -128,7 +128,10 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> lis
     again = again.select(F.coalesce("page_id", F.lit(-1)).alias("k"), F.col("page_id").isNull().alias("none"), "sha", F.col("first").alias("refers_to")).distinct()
     p = p.withColumns({"k": F.coalesce("page_id", F.lit(-1)), "none": F.col("page_id").isNull(), "sha": F.sha1("html")})
     out = p.join(again, ["k", "none", "sha"], "left").select("page_id", "url", "html", "refers_to").mapInArrow(_write_task(folder), "file string, bytes long, records long")
-    return [(r["file"], r["bytes"]) for r in out.toLocalIterator()]
+    files = [(r["file"], r["bytes"]) for r in out.collect()]  # one row a task
+    if files:
+        remove_at_end(pages.sparkSession, folder)
+    return files
 
 
 def _members(read, size: int, start: int, end: int, window: int = 1 << 18):
