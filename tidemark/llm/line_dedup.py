@@ -21,12 +21,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, pow2_at_least, total_bytes, word_bounds
+from .segments import hot_join
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
 
@@ -52,8 +52,7 @@ def _lines(data: np.ndarray, offs: np.ndarray, min_chars: int):
 
 
 def _filter_task(min_chars: int, bits: int):
-    def run(batches):
-        seen: list[np.ndarray] = []
+    def hashes(batches):
         for b in batches:
             ids = ints(b.column("doc_id"))
             for at, to, data, offs in chunks(b):
@@ -64,12 +63,10 @@ def _filter_task(min_chars: int, bits: int):
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 new &= ids[at:to][row] != -(1 << 63)
-                seen.append(h[new])
-        if not seen:
-            return
-        once, n = np.unique(np.concatenate(seen), return_counts=True)
-        if len(once):
-            yield bloom.emit(once, once[n > 1], bits, TaskContext.get().partitionId())
+                yield h[new]
+
+    def run(batches):
+        yield from bloom.stream(hashes(batches), bits)
 
     return run
 
@@ -119,21 +116,22 @@ def _rewrite(with_text: bool):
     return run
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 29) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 28) -> DataFrame:
     """(doc_id, dropped): the numbers, from 0, of the lines each document loses."""
     spark = docs.sparkSession
     d = as_docs(docs)
-    bits = pow2_at_least(total_bytes(d, "text") / 8, 16, max_filter_bits)
+    bits = pow2_at_least(total_bytes(d, "text") / 16, 16, max_filter_bits)
     filt = bloom.twice_filter(d.mapInArrow(_filter_task(min_chars, bits), bloom.SCHEMA), bits)
     shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
     sus = materialize(d.mapInArrow(_suspects(min_chars, bits, shared), "k1 long, k2 long, doc_id long, lines array<int>"), "lines")
+    shared.unpersist()
     held = sus.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    held = held.where(F.col("n") >= min_docs).select("k1", "k2", "keeper")
-    gone = sus.join(held, ["k1", "k2"]).where("doc_id <> keeper").select("doc_id", "lines")
+    held = materialize(held.where(F.col("n") >= min_docs).select("k1", "k2", "keeper", F.col("n").alias("rows")), "lines-held")
+    gone = hot_join(sus, held, ["k1", "k2"], sus.count()).where("doc_id <> keeper").select("doc_id", "lines")
     return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 29, with_text: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 28, with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text, kept_sha256."""
     gone = dropped_lines(docs, min_chars, min_docs, max_filter_bits)
     return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)
