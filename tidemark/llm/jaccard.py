@@ -83,7 +83,7 @@ def _count_task(n: int, bits: int):
         cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << seg)
         for s in range(len(cells)):
             if cells[s].any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([zlib.compress(cells[s].tobytes(), 1)], pa.binary())], names=["segment", "lane", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([TaskContext.get().partitionId() // 64], pa.int32()), pa.array([zlib.compress(cells[s].tobytes(), 1)], pa.binary())], names=["segment", "lane", "cells"])
 
     return run
 
@@ -105,7 +105,7 @@ def frequency_classes(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     schema = "segment int, lane int, cells binary"
     part = docs.mapInArrow(_count_task(n, bits), schema)
     part = part.groupBy("segment", "lane").applyInArrow(_sum_cells(np.uint8), schema)
-    whole = part.groupBy("segment").applyInArrow(_sum_cells(np.uint32), schema)
+    whole = materialize(part.groupBy("segment").applyInArrow(_sum_cells(np.uint32), schema), "frequencies")
     out = np.zeros(1 << bits, np.uint8)
     width = 1 << min(bits, 20)
     for r in whole.toLocalIterator():
@@ -197,14 +197,17 @@ def _overlap(key, table):
     keep = np.ones(len(ids), bool)
     keep[own] = False
     keep &= out > 0
-    return pa.table({"a": np.full(int(keep.sum()), pivot, np.int64), "b": ids[keep], "common": out[keep]})
+    size = table["size"].to_numpy()
+    na = size[own[0]] if len(own) else 0
+    k = int(keep.sum())
+    return pa.table({"a": np.full(k, pivot, np.int64), "b": ids[keep], "common": out[keep], "na": np.full(k, na, np.int64), "nb": size[keep]})
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bits: int, fragments: int, group: int = 256) -> DataFrame:
-    """(a, b, common): exact intersections of candidate pairs (a, b), a the pivot."""
+    """(a, b, common, na, nb): exact intersections of candidate pairs (a, b, na, nb), a the pivot."""
     spark = docs.sparkSession
     count = pairs.count()
-    wbits = pow2_at_least(count * 32, 13, 29)
+    wbits = pow2_at_least(count * 32, 13, 28)
 
     def ids_task(batches):
         for b in batches:
@@ -215,21 +218,17 @@ def overlaps(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bit
     shared = spark.sparkContext.broadcast((classes, wanted, wbits))  # one byte a cell and at most 64 MB
     seg = as_docs(docs).mapInArrow(_segments_task(n, bits, cut_points(classes, fragments), shared), "doc_id long, fragment int, tokens binary")
     # a pivot with many candidates is met in parts of about `group` of them
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"))
-    sides = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    as_b = sides.select(F.col("b").alias("doc_id"), "a", "part", F.lit(False).alias("is_pivot"))
-    as_a = degree.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"))
-    met = seg.join(as_b.unionAll(as_a), "doc_id").groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long")
-    return met.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"), F.max("na").alias("na"))
+    sides = pairs.join(degree.select("a", "parts"), "a").select("a", "b", "nb", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    as_b = sides.select(F.col("b").alias("doc_id"), "a", "part", F.lit(False).alias("is_pivot"), F.col("nb").alias("size"))
+    as_a = degree.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"), F.col("na").alias("size"))
+    met = seg.join(as_b.unionAll(as_a), "doc_id").groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long, na long, nb long")
+    return met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
 def _tokens_seen(bits: int):
-    def run(batches):
-        seen = [b.column("prefix").flatten().to_numpy().view(np.uint64) for b in batches]
-        if seen:
-            once, c = np.unique(np.concatenate(seen), return_counts=True)  # a document has a shingle once
-            if len(once):
-                yield bloom.emit(once, once[c > 1], bits, TaskContext.get().partitionId())
+    def run(batches):  # a document has a shingle once
+        yield from bloom.stream((b.column("prefix").flatten().to_numpy().view(np.uint64) for b in batches), bits)
 
     return run
 
@@ -249,11 +248,11 @@ def _tokens_kept(bits: int, shared):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 23) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     d = as_docs(docs)
-    bits = pow2_at_least(total_bytes(d, "text") / 64, 14, max_bits)
+    bits = pow2_at_least(total_bytes(d, "text") / 128, 14, max_bits)
     classes = frequency_classes(d, n, bits)
     shared = spark.sparkContext.broadcast(classes)  # 2**bits bytes, at most 2**max_bits
     pre = materialize(d.mapInArrow(_prefix_task(n, bits, percent, shared), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "jac-prefix")
@@ -266,11 +265,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     copies = same.select(F.col("b").alias("doc_id")).distinct()
     lone = pre.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
     # prefix shingles that one document alone has are dropped before anything shuffles
-    pbits = pow2_at_least(16 * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 29)
+    pbits = pow2_at_least(bloom.BITS_A_HASH * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 28)
     shared_tokens = spark.sparkContext.broadcast(bloom.twice_filter(lone.select("prefix").mapInArrow(_tokens_seen(pbits), bloom.SCHEMA), pbits))
     fit = F.lit(100 / percent).cast("double")
     tok = lone.select("doc_id", "n", "prefix").mapInArrow(_tokens_kept(pbits, shared_tokens), "doc long, n long, pos int, t long")
     tok = materialize(tok.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(fit)).cast("int")), "jac-tokens")
+    shared_tokens.unpersist()
 
     def possible(x: str, y: str):
         """Bounds for one shared shingle: lengths that fit, and what can follow it."""
@@ -281,14 +281,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
         return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
 
     def voted(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, votes) of rows (a, b, na, nb, pa, pb): all shared prefix shingles and what can follow the last bound the overlap."""
+        """Pairs (a, b, votes, na, nb) of rows (a, b, na, nb, pa, pb): all shared prefix shingles and what can follow the last bound the overlap."""
         v = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return v.where(F.col("votes") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need(F.col("na"), F.col("nb"))).select("a", "b", "votes")
+        return v.where(F.col("votes") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need(F.col("na"), F.col("nb"))).select("a", "b", "votes", "na", "nb")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        sizes = lone.select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
         got = overlaps(d, pairs, classes, n, bits, fragments)
-        got = got.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
         return materialize(got.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), tag)
 
     # round one: each document with its most frequent pivot
@@ -299,7 +297,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     pivot = tok.join(weight, "doc").groupBy("t", "cls").agg(F.max_by(F.struct("n", "doc", "pos"), F.struct("weight", -F.col("doc"))).alias("p")).select("t", "cls", "p.*")
     star = tok.alias("x").join(pivot.alias("y"), ["t", "cls"]).where(F.col("x.doc") != F.col("y.doc")).where(possible("x", "y"))
     votes = voted(star.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.col("y.pos").alias("pa"), F.col("x.pos").alias("pb")))
-    first = votes.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
+    first = votes.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("votes", -F.col("a"))).alias("p")).select("p.a", "b", "p.na", "p.nb")
     first = materialize(first, "jac-pairs1")
     links = linked(first, "jac-links1")
     comp = components(links, "jac-cc1")
@@ -308,7 +306,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     mixed = t2.groupBy("t").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("t")
     t2 = materialize(t2.join(mixed, "t", "left_semi"), "jac-mixed")
     across = t2.alias("x").join(t2.alias("y"), F.expr("x.t = y.t and x.doc < y.doc and x.component <> y.component")).where(possible("x", "y"))
-    across = voted(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))).select("a", "b")
+    across = voted(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))).select("a", "b", "na", "nb")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(across.join(done, ["a", "b"], "left_anti"), "jac-pairs2")
     if not second.isEmpty():
