@@ -96,8 +96,7 @@ def minimizers(m: np.ndarray, g: np.ndarray, at: np.ndarray, w: int, k: int) ->
 
 
 def _keys_task(unit: str, w: int, k: int, bits: int, once_a_row: bool):
-    def run(batches):
-        seen = []
+    def hashes(batches):
         for b in batches:
             ids = ints(b.column("doc_id"))
             for lo, to, data, offs in chunks(b):
@@ -114,12 +113,10 @@ def _keys_task(unit: str, w: int, k: int, bits: int, once_a_row: bool):
                     order = np.lexsort((v, r))
                     v, r = v[order], r[order]
                     v = v[np.append(True, (v[1:] != v[:-1]) | (r[1:] != r[:-1]))]
-                seen.append(v)
-        if not seen:
-            return
-        once, n = np.unique(np.concatenate(seen), return_counts=True)
-        if len(once):
-            yield bloom.emit(once, once[n > 1], bits, TaskContext.get().partitionId())
+                yield v
+
+    def run(batches):
+        yield from bloom.stream(hashes(batches), bits)
 
     return run
 
@@ -194,7 +191,7 @@ def place_hash(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(mix(doc.view(np.uint64)) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def candidate_segments(docs: DataFrame, unit: str, w: int, k: int, within: bool, tag: str, max_filter_bits: int = 29):
+def candidate_segments(docs: DataFrame, unit: str, w: int, k: int, within: bool, tag: str, max_filter_bits: int = 28):
     """(slim, distinct, text).
 
     slim: key, d, doc_id, start, windows of every candidate segment; distinct: of each
@@ -205,10 +202,11 @@ def candidate_segments(docs: DataFrame, unit: str, w: int, k: int, within: bool,
     spark = docs.sparkSession
     d = as_docs(docs)
     per = 12 * w // 3 if unit == "word" else w // 3  # bytes of text for each minimizer, roughly
-    bits = pow2_at_least(16 * total_bytes(d, "text") / per, 14, max_filter_bits)
+    bits = pow2_at_least(bloom.BITS_A_HASH * total_bytes(d, "text") / per, 14, max_filter_bits)
     filt = bloom.twice_filter(d.mapInArrow(_keys_task(unit, w, k, bits, not within), bloom.SCHEMA), bits)
     shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
     slim = materialize(d.mapInArrow(_slim_task(unit, w, k, bits, shared), "key long, d long, doc_id long, start long, windows long, multi long"), f"{tag}-slim")
+    shared.unpersist()
     distinct = slim.groupBy("key", "d").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "start", "windows")).alias("f"), F.max("multi").alias("multi"))
     distinct = materialize(distinct.select("key", "d", "rows", F.col("f.doc_id").alias("doc0"), F.col("f.start").alias("start0"), F.col("f.windows").alias("windows"), "multi"), f"{tag}-distinct")
     many = distinct.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("multi").alias("multi"))
@@ -243,11 +241,7 @@ def _window_hashes(b: pa.RecordBatch, unit: str, w: int):
 
 def _windows_seen(unit: str, w: int, bits: int):
     def run(batches):
-        seen = [h for b in batches for *_, h in _window_hashes(b, unit, w)]
-        if seen:
-            once, n = np.unique(np.concatenate(seen), return_counts=True)
-            if len(once):
-                yield bloom.emit(once, once[n > 1], bits, TaskContext.get().partitionId())
+        yield from bloom.stream((h for b in batches for *_, h in _window_hashes(b, unit, w)), bits)
 
     return run
 
@@ -275,7 +269,7 @@ def _pieces_task(unit: str, w: int, bits: int, shared):
     return run
 
 
-def shared_pieces(text: DataFrame, unit: str, w: int, tag: str, max_filter_bits: int = 29):
+def shared_pieces(text: DataFrame, unit: str, w: int, tag: str, max_filter_bits: int = 28):
     """(pieces, distinct): the parts of the segments whose windows occur more than once.
 
     A third pair of Bloom filters, over the windows of the distinct segments, cuts away what
@@ -285,10 +279,11 @@ def shared_pieces(text: DataFrame, unit: str, w: int, tag: str, max_filter_bits:
     """
     spark = text.sparkSession
     n = text.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    bits = pow2_at_least(16.0 * int(n), 14, max_filter_bits)
+    bits = pow2_at_least(bloom.BITS_A_HASH * int(n), 14, max_filter_bits)
     filt = bloom.twice_filter(text.mapInArrow(_windows_seen(unit, w, bits), bloom.SCHEMA), bits)
     shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
     pieces = materialize(text.mapInArrow(_pieces_task(unit, w, bits, shared), "key long, d long, doc_id long, start long, off long, n long, pd long, payload binary"), f"{tag}-pieces")
+    shared.unpersist()
     one = pieces.groupBy("key", "pd").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "start")).alias("f"), F.first("n").alias("n"), F.first("payload").alias("payload"))
     one = materialize(one.select("key", "pd", "rows", F.col("f.doc_id").alias("doc0"), F.col("f.start").alias("start0"), "n", "payload"), f"{tag}-one")
     return pieces.drop("payload"), one
