@@ -1,10 +1,11 @@
 """Two Bloom filters over a keyed stream: bits of hashes seen once, bits of hashes seen twice.
 
-Each task turns its hashes into bit positions and emits them as compressed
-segments of a few bits' worth per hash; segments merge by
-``twice = twice_a | twice_b | (once_a & once_b)``, ``once = once_a | once_b``.
-The AND keeps every hash that two tasks share (no false negative); like any
-Bloom filter it may add false positives, which callers remove exactly.
+Each task turns its hashes into bit positions, dealt to segments of 2**16 bits: sorted
+two-byte positions while a segment is sparse, its bitmap once that is smaller. Segments
+merge by ``twice = twice_a | twice_b | (once_a & once_b)``, ``once = once_a | once_b``,
+that is by counting how often a position is sent. That keeps every hash that two tasks
+share (no false negative); like any Bloom filter it may add false positives, which
+callers remove exactly.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SEGMENT_BITS = 20
+from .common import materialize
+
+SEGMENT_BITS = 16
 HASHES = 4
-SCHEMA = "segment int, lane int, once binary, twice binary"
+#: Bits of the filters for each hash: few do, as a bit of the second filter needs two hashes.
+BITS_A_HASH = 6.0
+LANE = 4096  # tasks whose segments merge in one group
+SCHEMA = "segment int, lane int, dense boolean, once binary, twice binary"
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
@@ -35,53 +41,89 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
-def _pack(pos: np.ndarray, width: int) -> bytes:
+def _bitmap(low: np.ndarray, width: int) -> bytes:
     flags = np.zeros(width, bool)
-    flags[pos] = True
-    return zlib.compress(np.packbits(flags).tobytes(), 1)
+    flags[low] = True
+    return np.packbits(flags).tobytes()
 
 
 def emit(once: np.ndarray, twice: np.ndarray, bits: int, lane: int) -> pa.RecordBatch:
-    """Segments of one task. once: its distinct hashes; twice: those of them it saw in two rows."""
+    """Segments of some distinct hashes (once) and those of them seen in two rows (twice)."""
     seg = min(bits, SEGMENT_BITS)
+    width = 1 << seg
     p, q = (sorted_unique(positions(x, bits).ravel()) for x in (once, twice))
     cuts = np.arange(0, (1 << (bits - seg)) + 1, dtype=np.int64) << seg
     pc, qc = np.searchsorted(p, cuts), np.searchsorted(q, cuts)
-    rows = [s for s in range(len(cuts) - 1) if pc[s + 1] > pc[s]]
-    mask = (1 << seg) - 1
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(rows, pa.int32()),
-            pa.array([lane % 64] * len(rows), pa.int32()),
-            pa.array([_pack(p[pc[s] : pc[s + 1]] & mask, 1 << seg) for s in rows], pa.binary()),
-            pa.array([_pack(q[qc[s] : qc[s + 1]] & mask, 1 << seg) for s in rows], pa.binary()),
-        ],
-        names=["segment", "lane", "once", "twice"],
-    )
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    once = twice = None
-    for o, t in zip(table["once"], table["twice"]):
-        o, t = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (o, t))
-        if once is None:
-            once, twice = o.copy(), t.copy()
-        else:
-            twice |= t | (once & o)
-            once |= o
-    return pa.table({"segment": table["segment"][:1], "lane": pa.array([0], pa.int32()), "once": pa.array([zlib.compress(once.tobytes(), 1)]), "twice": pa.array([zlib.compress(twice.tobytes(), 1)])})
+    p, q = ((x & (width - 1)).astype(np.uint16) for x in (p, q))
+    used = np.flatnonzero(np.diff(pc))
+    dense = 2 * np.diff(pc)[used] > width // 8
+    o = [_bitmap(p[pc[s] : pc[s + 1]], width) if d else p[pc[s] : pc[s + 1]].tobytes() for s, d in zip(used, dense)]
+    t = [_bitmap(q[qc[s] : qc[s + 1]], width) if d else q[qc[s] : qc[s + 1]].tobytes() for s, d in zip(used, dense)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), lane // LANE), pa.int32()), pa.array(dense), pa.array(o, pa.binary()), pa.array(t, pa.binary())], names=["segment", "lane", "dense", "once", "twice"])
+
+
+def stream(arrays, bits: int, limit: int = 750_000):
+    """Segments of a task's hashes, one array after the other; a hash that comes twice was seen twice.
+
+    At most about ``limit`` hashes are held; what comes twice over two parts is found when segments merge.
+    """
+    lane = TaskContext.get().partitionId()
+    held: list[np.ndarray] = []
+    n = 0
+
+    def flush():
+        once, c = np.unique(np.concatenate(held), return_counts=True)
+        return emit(once, once[c > 1], bits, lane)
+
+    for x in arrays:
+        for i in range(0, len(x), limit):
+            held.append(x[i : i + limit])
+            n += len(held[-1])
+            if n >= limit:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _merger(width: int):
+    def merge(table: pa.Table) -> pa.Table:
+        count = np.zeros(width, np.uint8)
+        for d, o, t in zip(table["dense"].to_pylist(), table["once"], table["twice"]):
+            o, t = o.as_buffer(), t.as_buffer()
+            if d:
+                o, t = (np.unpackbits(np.frombuffer(x, np.uint8))[:width] for x in (o, t))
+                count = np.minimum(2, count + o + t)
+            else:
+                count[np.frombuffer(o, np.uint16)] += 1
+                count[np.frombuffer(t, np.uint16)] += 1
+                count = np.minimum(2, count)
+        return pa.table({"segment": table["segment"][:1], "lane": pa.array([0], pa.int32()), "dense": [True], "once": [np.packbits(count > 0).tobytes()], "twice": [np.packbits(count > 1).tobytes()]}, schema=_ARROW)
+
+    return merge
+
+
+_ARROW = pa.schema([("segment", pa.int32()), ("lane", pa.int32()), ("dense", pa.bool_()), ("once", pa.binary()), ("twice", pa.binary())])
+
+
+def _pack(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("segment"), pa.array([zlib.compress(x.as_py(), 1) for x in b.column("twice")], pa.binary())], names=["segment", "twice"])
 
 
 def twice_filter(segments: DataFrame, bits: int) -> np.ndarray:
-    """Merges all tasks' segments (lanes of tasks first, so a group stays small) and returns
-    the packed filter of hashes seen twice: 2**bits / 8 bytes, at most 64 MB by the callers' cap."""
-    one = segments.groupBy("segment", "lane").applyInArrow(_merge, SCHEMA)
-    full = one.groupBy("segment").applyInArrow(_merge, SCHEMA).select("segment", "twice")
-    seg = min(bits, SEGMENT_BITS)
+    """Merges all tasks' segments (LANE tasks at a time, so a group stays small) and returns
+    the packed filter of hashes seen twice: 2**bits / 8 bytes, at most 32 MB by the callers' cap."""
+    width = 1 << min(bits, SEGMENT_BITS)
+    merge = _merger(width)
+    many = segments.rdd.getNumPartitions() > LANE
+    full = segments.groupBy("segment", "lane").applyInArrow(merge, SCHEMA)
+    if many:
+        full = full.groupBy("segment").applyInArrow(merge, SCHEMA)
+    full = materialize(full.select("segment", "twice").mapInArrow(_pack, "segment int, twice binary"), "filter")
     out = np.zeros((1 << bits) // 8, np.uint8)
-    width = (1 << seg) // 8
     for r in full.toLocalIterator():
-        out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8)
+        out[r[0] * (width // 8) : (r[0] + 1) * (width // 8)] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8)
     return out
 
 

@@ -3,6 +3,7 @@ access from Arrow batches, and vectorised 64-bit hashing of byte ranges."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; a longer document forms a chunk alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 # ---------------------------------------------------------------- shared folder
@@ -50,11 +51,27 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    """Settings of intermediate writes: their shuffle files go when each ends (nothing reads them
+    again), and Arrow batches are small, so that workers hold little text at once."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes a Parquet table into the shared folder and reads it back."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    with writing(spark):
+        df.write.parquet(path)
     remove_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
