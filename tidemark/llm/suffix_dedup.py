@@ -123,7 +123,7 @@ def _rewrite(with_text: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 1_500_000, memory_symbols: int = 1 << 21, memory_entries: int = 1 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 600_000, memory_symbols: int = 1 << 20, memory_entries: int = 1 << 19) -> DataFrame:
     """(doc_id, ranges): the byte ranges each document loses."""
     slim, distinct, text = candidate_segments(docs, "byte", window, gram, within=True, tag="sa")
     pieces, one = shared_pieces(materialize(text, "sa-text"), "byte", window, "sa")
