@@ -8,6 +8,8 @@ import math
 import random
 import re
 
+import xxhash
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key int, part string, rows int, text_key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -55,6 +57,20 @@ def sha(x) -> str:
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
+def text_hash(b: bytes) -> int:
+    """Spark's xxhash64 of a text."""
+    return int.from_bytes(xxhash.xxh64(b, seed=42).digest(), "big", signed=True)
+
+
+def shared_ids(rows: list[tuple]) -> list[tuple]:
+    """More rows for a corpus: repeated ones, and other texts under doc_ids that have one."""
+    r = random.Random(5)
+    other = [" ".join("".join(r.choice("qwzx") for _ in range(5)) for _ in range(90)) for _ in range(3)]
+    give = lambda i, t: (i, t, *rows[0][2:])
+    long_ = rows[2][1] or ""
+    return [*rows, rows[3], rows[3], give(2, other[0]), give(9, long_), give(9, other[1]), give(9, long_ + " " + other[2]), give(40, other[2]), give(40, long_)]
+
+
 def line_dedup(rows, min_chars=20, min_docs=3):
     key = lambda x: lower(x.strip(BLANKS))
     held: dict = {}
@@ -134,19 +150,20 @@ def word_substrings(rows, w=50):
 
 def byte_substrings(rows, w=100):
     raw = [((d, (t or "").encode())) for d, t, *_ in rows]
+    order = {b: text_hash(b) for _, b in raw}  # texts that share a doc_id follow each other by it
     first: dict = {}
     for d, b in raw:
         if d is not None:
             for i in range(len(b) - w + 1):
                 k = b[i : i + w]
-                if k not in first or (d, i) < first[k]:
-                    first[k] = (d, i)
+                if k not in first or (d, order[b], i) < first[k]:
+                    first[k] = (d, order[b], i)
     out = []
     for d, b in raw:
         gone = [False] * len(b)
         if d is not None:
             for i in range(len(b) - w + 1):
-                if first[b[i : i + w]] < (d, i):
+                if first[b[i : i + w]] < (d, order[b], i):
                     gone[i : i + w] = [True] * w
         spans = sum(g and not p for g, p in zip(gone, [False, *gone]))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))

@@ -101,7 +101,8 @@ def test_word_substrings(docs, empty):
     expected = fx.word_substrings(rows)
     assert any(r[2] for r in expected)
     same(substring_dedup(df), cols, expected)
-    same(substring_dedup(df, window=12, gram=4, shard_words=300), cols, fx.word_substrings(rows, 12))
+    same(substring_dedup(df, window=12, gram=4, shard_bytes=2000), cols, fx.word_substrings(rows, 12))
+    same(substring_dedup(df, window=12, gram=4, shard_bytes=2000, hot_segments=1), cols, fx.word_substrings(rows, 12))
     assert substring_dedup(empty).count() == 0
 
 
@@ -114,9 +115,27 @@ def test_byte_substrings(docs, empty):
     assert any(r[2] for r in expected)
     same(suffix_dedup(df), cols, expected)
     same(suffix_dedup(df, window=30, gram=8, shard_bytes=2000, memory_symbols=50, memory_entries=100), cols, fx.byte_substrings(rows, 30))
+    same(suffix_dedup(df, window=30, gram=8, hot_segments=1), cols, fx.byte_substrings(rows, 30))
     assert suffix_dedup(empty).count() == 0
 
 
+def test_substrings_of_shared_ids(spark, monkeypatch):
+    """Rows that share a doc_id lose their own repeats only; also where gram hashes often coincide."""
+    from tidemark.llm import segments
+    from tidemark.llm.fm_dedup import substring_dedup
+    from tidemark.llm.suffix_dedup import suffix_dedup
+
+    rows = fx.shared_ids(fx.corpus())
+    df = fx.frame(spark, rows)
+    same(substring_dedup(df), ("doc_id", "n_words", "n_removed", "kept_sha256"), fx.word_substrings(rows))
+    same(suffix_dedup(df), ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), fx.byte_substrings(rows))
+    probe = [(1, "p " * 90), (2, "p " * 90), (2, " ".join(f"q{i}" for i in range(90))), (3, " ".join(f"r{i}" for i in range(90)))]
+    got = substring_dedup(spark.createDataFrame(probe, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_removed") == [(1, 0), (2, 0), (2, 90), (3, 0)]
+    got = suffix_dedup(spark.createDataFrame(probe[1:], "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_removed") == [(2, 0), (2, 178), (3, 0)]
+
+
 def test_warc(spark):
     from tidemark.llm import warc
 

@@ -41,6 +41,29 @@ def test_two_filters(spark):
     assert bloom.contains(f, 16, others).mean() < 0.05
 
 
+def test_segments_with_few_hashes(monkeypatch):
+    """Equal windows get equal keys and each window one segment, also where different grams share a 32-bit value."""
+    from tidemark.llm.segments import Segments
+
+    r = np.random.default_rng(4)
+    rows = [bytes(r.integers(97, 100, n).astype(np.uint8)) for n in (0, 90, 3, 11, 200, 0, 60)]
+    rows += [rows[1][10:70] + rows[4][:50], b"ab" * 60, b""]
+    data, offs = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    for shift in (32, 60, 62):
+        monkeypatch.setattr(Segments, "SHIFT", np.uint64(shift))
+        s = Segments(data, offs, "byte", 12, 5)
+        key_of, seen = {}, set()
+        for row, at, n, key, multi in zip(*s.select(np.ones(len(s.at), bool))):
+            for i in range(at, at + n):
+                text = data[i : i + 12].tobytes()
+                assert i not in seen and i + 12 <= offs[row + 1] and i >= offs[row]
+                seen.add(i)
+                assert key_of.setdefault(text, key) == key
+            inside = [data[i : i + 12].tobytes() for i in range(at, at + n)]
+            assert multi or len(set(inside)) == n
+        assert seen == {i for a, b in zip(offs, offs[1:]) for i in range(a, b - 11)}
+
+
 def test_fm_index():
     from tidemark.llm.fm_dedup import Index
 
@@ -83,7 +106,32 @@ def test_induced_sorting():
             while n < min(len(x), len(y)) - 1 and n < cap and x[n] == y[n]:
                 n += 1
             lcp.append(n)
-        for memory, entries in ((1 << 20, 1 << 20), (3, 5), (1, 1)):
+        for memory, entries in ((1 << 20, 1 << 20), (3, 5), (1, 1), (1, 40)):
             got = list(sorted_suffixes(data, b, cap, memory, entries))[::-1]
             assert [int(x) for p, _ in got for x in p] == [p for _, p in suffixes]
             assert [int(x) for _, l in got for x in l] == lcp
+
+
+def test_suffix_shard_beyond_the_queue():
+    """A shard of over ten times the queue's entries, at the query's own settings: the queue spills."""
+    import inspect
+
+    from tidemark.llm import suffix_dedup as sd
+    from tidemark.llm import suffix_sort
+
+    defaults = {k: v.default for k, v in inspect.signature(sd.suffix_dedup).parameters.items()}
+    entries = defaults["memory_entries"]
+    r = np.random.default_rng(5)
+    base = r.integers(97, 123, 4 * entries).astype(np.uint8)
+    parts = [base, r.integers(97, 123, 3 * entries).astype(np.uint8), base[1000:], base[: entries // 2]]
+    sizes = np.array([len(p) for p in parts])
+    assert sizes.sum() > 10 * entries
+    spilled = []
+    close = suffix_sort.BucketQueue.close
+    suffix_sort.BucketQueue.close = lambda q: (spilled.append(len(q.runs)), close(q))[1]
+    try:
+        got = sd._search(100, defaults["memory_symbols"], entries)(np.concatenate(parts), sizes, None, np.concatenate([[0], np.cumsum(sizes)])[:-1])
+    finally:
+        suffix_sort.BucketQueue.close = close
+    assert max(spilled) > 0
+    assert sorted(zip(*(x.tolist() for x in got))) == [(2, 0, len(parts[2])), (3, 0, len(parts[3]))]

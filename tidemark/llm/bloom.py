@@ -62,7 +62,7 @@ def emit(once: np.ndarray, twice: np.ndarray, bits: int, lane: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), lane // LANE), pa.int32()), pa.array(dense), pa.array(o, pa.binary()), pa.array(t, pa.binary())], names=["segment", "lane", "dense", "once", "twice"])
 
 
-def stream(arrays, bits: int, limit: int = 750_000):
+def stream(arrays, bits: int, limit: int = 400_000):
     """Segments of a task's hashes, one array after the other; a hash that comes twice was seen twice.
 
     At most about ``limit`` hashes are held; what comes twice over two parts is found when segments merge.

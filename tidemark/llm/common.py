@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a Python worker; a longer document forms a chunk alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 
 # ---------------------------------------------------------------- shared folder
@@ -139,6 +139,8 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 mix = _splitmix
 _TABLES = [_splitmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * s)) for s in range(2)]
+#: A random word for each byte value.
+BYTE_WORDS = _TABLES[0]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +207,12 @@ def list_column(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> p
 
 def ints(col: pa.Array) -> np.ndarray:
     """A long column as an array; nulls become the smallest long (callers that care look at the mask)."""
-    return col.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
+    return col.cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+
+
+def text_key(text) -> F.Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text if isinstance(text, F.Column) else F.col(text), F.lit("")))
 
 
 def as_docs(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Substring dedup with a compressed FM-index per shard.
 
 Candidate segments (see ``segments``), cut to the pieces whose windows occur more
-than once, are dealt to shards by their key. A shard
+than once, come to shards by their key. A shard
 builds the suffix array of its distinct pieces over word numbers, keeps the
 Burrows-Wheeler transform as a wavelet matrix (packed bits with block counts) and,
 by suffix rank, the smallest document that holds each segment. The segments are
@@ -11,9 +11,11 @@ is extended to its longest match (matching statistics at its start), and interva
 of at least the threshold whose match lies in a smaller document are reported.
 
 Defined cases: null or blank text has no words; texts under ``window`` words lose
-nothing; a repeat within one document is no repeat; rows sharing a doc_id are one
-document; rows with a null doc_id neither remove nor lose anything; ties and
-repeated rows follow from doc_id alone; other columns are ignored.
+nothing; a repeat within one document is no repeat; rows that share a doc_id are no
+smaller than each other, so they lose only what a smaller doc_id holds, each from its
+own text; rows with a null doc_id neither remove nor lose anything; other columns are
+ignored. The removed words are those that equal words in the index, or in an equal
+segment by key and digest (128 bits together).
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import RangeHash, as_docs, materialize, word_bounds
-from .segments import candidate_segments, merged, removed_ranges, segment_ranges, shared_pieces
+from .common import as_docs, text_key
+from .segments import merged, ranges_of, removed_windows
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
@@ -159,41 +160,23 @@ def matches(index: Index, text: np.ndarray, starts: np.ndarray, lengths: np.ndar
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def _shard(w: int):
-    empty = pa.table({"key": pa.array([], pa.int64()), "pd": pa.array([], pa.int64()), "ranges": pa.array([], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
-
-    def run(table: pa.Table) -> pa.Table:
-        raw = [x.as_py() for x in table["payload"]]
-        data = np.frombuffer(b"\n".join(raw), np.uint8)
-        size = np.array([len(x) for x in raw], np.int64)
-        offs = np.concatenate([[0], np.cumsum(size + 1)])
-        offs[-1] = len(data)
-        s, e, first = word_bounds(data, offs)
-        h = RangeHash(data).of(s, e)
-        words = np.unique(h, return_inverse=True)[1]
-        n = np.diff(first)
-        m = len(n)
-        # each segment ends with a separator of its own, smaller than any word
-        starts = first[:-1] + np.arange(m)
+def _search(w: int):
+    def run(symbols: np.ndarray, size: np.ndarray, documents: np.ndarray, _places):
+        """(piece, from, to): the words of each piece that windows of smaller documents cover."""
+        words = np.unique(symbols, return_inverse=True)[1]
+        m = len(size)
+        # each piece ends with a separator of its own, smaller than any word
+        starts = np.concatenate([[0], np.cumsum(size)])[:-1] + np.arange(m)
         t = np.empty(len(words) + m, np.int64)
-        ends = starts + n
-        t[ends] = np.arange(m)
+        t[starts + size] = np.arange(m)
         is_word = np.ones(len(t), bool)
-        is_word[ends] = False
+        is_word[starts + size] = False
         t[is_word] = words + m
-        docs = table["doc0"].to_numpy()
-        rank = np.unique(docs, return_inverse=True)[1]
-        index = Index(t, np.repeat(rank, n + 1))
-        lane, a, b = matches(index, t, starts, n, rank, w)
-        if not len(lane):
-            return empty
+        rank = np.unique(documents, return_inverse=True)[1]
+        index = Index(t, np.repeat(rank, size + 1))
+        lane, a, b = matches(index, t, starts, size, rank, w)
         order = np.lexsort((a, lane))
-        lane, a, b = lane[order], a[order], b[order]
-        cut = np.flatnonzero(np.append(True, lane[1:] != lane[:-1]))
-        pieces = pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(lane)), pa.int32()), pieces)
-        at = pa.array(lane[cut])
-        return pa.table([table["key"].take(at), table["pd"].take(at), lists], names=["key", "pd", "ranges"])
+        return lane[order], a[order], b[order]
 
     return run
 
@@ -202,13 +185,12 @@ def _rewrite(with_text: bool):
     def run(batches):
         for b in batches:
             out = []
-            for text, ranges in zip(b.column("text"), b.column("ranges")):
-                t = (text.as_py() or "").encode()
-                w = t.split()
+            flat, at = ranges_of(b.column("ranges"))
+            for i, text in enumerate(b.column("text")):
+                w = (text.as_py() or "").encode().split()
                 n, gone = len(w), 0
-                r = ranges.as_py()
-                if r:
-                    mask = merged(r, n)
+                if at[i + 1] > at[i]:
+                    mask = merged(flat[at[i] : at[i + 1]], n)
                     gone = int(mask.sum())
                     w = [x for x, g in zip(w, mask) if not g]
                 kept = b" ".join(w)
@@ -219,17 +201,7 @@ def _rewrite(with_text: bool):
     return run
 
 
-def repeated_words(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 800_000) -> DataFrame:
-    """(doc_id, ranges): the word ranges each document loses."""
-    slim, distinct, text = candidate_segments(docs, "word", window, gram, within=False, tag="fm")
-    pieces, one = shared_pieces(materialize(text, "fm-text"), "word", window, "fm")
-    shards = max(1, -(-int(one.agg(F.coalesce(F.sum(F.col("n") + 1), F.lit(0))).first()[0]) // shard_words))
-    found = one.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window), "key long, pd long, ranges array<struct<a:long,b:long>>")
-    found = segment_ranges(pieces, one, materialize(found, "fm-found"), False, "fm")
-    return removed_ranges(slim, distinct, found, window, same_doc=False)
-
-
-def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16, shard_words: int = 800_000, with_text: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256."""
-    gone = repeated_words(docs, window, gram, shard_words)
-    return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)
+def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16, shard_bytes: int = 2_500_000, with_text: bool = True, **options) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256; a shard indexes about shard_bytes of text."""
+    gone = removed_windows(docs, "word", window, gram, False, _search(window), "fm", shard_bytes, **options)
+    return as_docs(docs).withColumn("tk", text_key("text")).join(gone, ["doc_id", "tk"], "left").drop("tk").mapInArrow(_rewrite(with_text), OUT)

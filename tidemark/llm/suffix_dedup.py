@@ -1,18 +1,21 @@
 """Suffix-array dedup: drops every byte of a long byte string that also starts earlier.
 
 Candidate segments (see ``segments``, over bytes), cut to the pieces whose windows
-occur more than once, are dealt to shards by their key; a shard sorts all suffixes
+occur more than once, come to shards by their key; a shard sorts all suffixes
 of its distinct pieces by external induced sorting (see
 ``suffix_sort``: disk-backed queues that carry suffix tuples and common-prefix
-values, recursively), so a shard may be far larger than memory. Suffixes whose
+values, recursively), so a shard may be larger than memory. Suffixes whose
 common prefix reaches ``window`` bytes are one group: its earliest place stays, the
-windows at all other places are removed. The queue's files lie in the task's own
+windows at all other places are removed. The files lie in the task's own
 temporary folder and go with the task.
 
 Defined cases: null or empty text has no bytes; texts under ``window`` bytes lose
 nothing; overlapping repeats within one document count; rows sharing a doc_id are
-one document and equal places of repeated rows are not earlier than each other; rows
-with a null doc_id neither remove nor lose anything; other columns are ignored.
+one document whose different texts follow each other by their hash, each losing
+bytes of its own only, and equal rows stand at one place, so that neither removes
+the other; rows with a null doc_id neither remove nor lose anything; other columns
+are ignored. Removed bytes equal earlier ones in the sort, or in an equal segment by
+key and digest (128 bits together).
 """
 
 from __future__ import annotations
@@ -22,40 +25,38 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import as_docs, materialize
-from .segments import candidate_segments, merged, removed_ranges, segment_ranges, shared_pieces
+from .common import as_docs, text_key
+from .segments import merged, ranges_of, removed_windows
 from .suffix_sort import sorted_suffixes
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
-def covered_windows(parts: np.ndarray, bounds: np.ndarray, place: np.ndarray, w: int, memory_symbols: int, memory_entries: int) -> np.ndarray:
+def covered_windows(parts: np.ndarray, bounds: np.ndarray, first: np.ndarray, w: int, memory_symbols: int, memory_entries: int) -> np.ndarray:
     """True at the first byte of each w-byte window that also starts at an earlier place.
 
-    place: the rank of each byte's place in the corpus (parts end to end).
+    first: the place of each part's first byte in the corpus (parts end to end).
     """
     m = len(bounds) - 1
-    n = np.diff(bounds)
-    to_byte = np.cumsum(np.ones(len(parts) + m, np.int64)) - 1 - np.repeat(np.arange(m), n + 1)
+    ends = bounds[1:] + np.arange(m)  # of the parts in the text with separators
     out = np.zeros(len(parts), bool)
 
     def close(pos: np.ndarray, lcp: np.ndarray) -> None:
         """Whole groups of suffixes (a group never lies over two symbols)."""
-        first = np.flatnonzero(lcp < w)
-        if not len(first) or first[0] != 0:
-            first = np.append(0, first)
-        size = np.diff(np.append(first, len(pos)))
-        some = size > 1
-        if not some.any():
+        joined = lcp >= w
+        joined[0] = False
+        keep = joined.copy()
+        keep[:-1] |= joined[1:]
+        if not keep.any():
             return
-        b = to_byte[pos]
-        least = np.minimum.reduceat(place[b], first)
-        grp = np.repeat(np.arange(len(first)), size)
-        keep = some[grp]
-        b, grp = b[keep], grp[keep]
-        out[b] = place[b] > least[grp]
+        pos, joined = pos[keep], joined[keep]
+        part = np.searchsorted(ends, pos)
+        b = pos - part
+        place = first[part] + b - bounds[part]
+        head = np.flatnonzero(~joined)
+        least = np.minimum.reduceat(place, head)
+        out[b] = place > np.repeat(least, np.diff(np.append(head, len(pos))))
 
     # blocks come from the end: a block that begins inside a group waits for the block before it
     wait: list[tuple[np.ndarray, np.ndarray]] = []
@@ -71,34 +72,18 @@ def covered_windows(parts: np.ndarray, bounds: np.ndarray, place: np.ndarray, w:
     return out
 
 
-def _shard(w: int, memory_symbols: int, memory_entries: int):
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    empty = pa.table({"key": pa.array([], pa.int64()), "pd": pa.array([], pa.int64()), "ranges": pa.array([], kind)})
-
-    def run(table: pa.Table) -> pa.Table:
-        raw = [x.as_py() for x in table["payload"]]
-        parts = np.frombuffer(b"".join(raw), np.uint8)
-        n = np.array([len(x) for x in raw], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        del raw
-        inside = np.arange(len(parts)) - np.repeat(bounds[:-1], n)
-        doc = np.unique(table["doc0"].to_numpy(), return_inverse=True)[1]
-        at = np.repeat(table["start0"].to_numpy(), n) + inside
-        place = np.repeat(doc, n) * (int(at.max(initial=0)) + 1) + at
-        gone = covered_windows(parts, bounds, place, w, memory_symbols, memory_entries)
-        hit = np.flatnonzero(gone)
+def _search(w: int, memory_symbols: int, memory_entries: int):
+    def run(symbols: np.ndarray, size: np.ndarray, _documents, places: np.ndarray):
+        """(piece, from, to): the bytes of each piece that windows at earlier places cover."""
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        hit = np.flatnonzero(covered_windows(symbols, bounds, places, w, memory_symbols, memory_entries))
         if not len(hit):
-            return empty
+            return hit, hit, hit
         part = np.searchsorted(bounds, hit, side="right") - 1
         # runs of window starts become byte ranges
-        new = np.append(True, (np.diff(hit) > w) | (part[1:] != part[:-1]))
-        s = np.flatnonzero(new)
+        s = np.flatnonzero(np.append(True, (np.diff(hit) > w) | (part[1:] != part[:-1])))
         e = np.append(s[1:], len(hit)) - 1
-        a, b, p = hit[s] - bounds[part[s]], hit[e] - bounds[part[s]] + w, part[s]
-        cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(p)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]))
-        rows = pa.array(p[cut])
-        return pa.table([table["key"].take(rows), table["pd"].take(rows), lists], names=["key", "pd", "ranges"])
+        return part[s], hit[s] - bounds[part[s]], hit[e] - bounds[part[s]] + w
 
     return run
 
@@ -107,12 +92,12 @@ def _rewrite(with_text: bool):
     def run(batches):
         for b in batches:
             out = []
-            for text, ranges in zip(b.column("text"), b.column("ranges")):
+            flat, at = ranges_of(b.column("ranges"))
+            for i, text in enumerate(b.column("text")):
                 raw = (text.as_py() or "").encode()
                 n, gone, spans, kept = len(raw), 0, 0, raw
-                r = ranges.as_py()
-                if r:
-                    mask = merged(r, n)
+                if at[i + 1] > at[i]:
+                    mask = merged(flat[at[i] : at[i + 1]], n)
                     gone = int(mask.sum())
                     spans = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (n > 0 and mask[0]))
                     kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
@@ -123,17 +108,7 @@ def _rewrite(with_text: bool):
     return run
 
 
-def repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 600_000, memory_symbols: int = 1 << 20, memory_entries: int = 1 << 19) -> DataFrame:
-    """(doc_id, ranges): the byte ranges each document loses."""
-    slim, distinct, text = candidate_segments(docs, "byte", window, gram, within=True, tag="sa")
-    pieces, one = shared_pieces(materialize(text, "sa-text"), "byte", window, "sa")
-    shards = max(1, -(-int(one.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // shard_bytes))
-    found = one.withColumn("shard", F.pmod("key", F.lit(shards))).groupBy("shard").applyInArrow(_shard(window, memory_symbols, memory_entries), "key long, pd long, ranges array<struct<a:long,b:long>>")
-    found = segment_ranges(pieces, one, materialize(found, "sa-found"), True, "sa")
-    return removed_ranges(slim, distinct, found, window, same_doc=True)
-
-
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, with_text: bool = True, **options) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256."""
-    gone = repeated_bytes(docs, window, gram, **options)
-    return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 1 << 20, memory_symbols: int = 1 << 19, memory_entries: int = 1 << 17, with_text: bool = True, **options) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256; a shard sorts about shard_bytes."""
+    gone = removed_windows(docs, "byte", window, gram, True, _search(window, memory_symbols, memory_entries), "sa", shard_bytes, **options)
+    return as_docs(docs).withColumn("tk", text_key("text")).join(gone, ["doc_id", "tk"], "left").drop("tk").mapInArrow(_rewrite(with_text), OUT)
