@@ -46,6 +46,38 @@ def test_jaccard(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_lines_of_shared_ids(spark):
+    """A doc_id's rows each lose lines of their own; other columns stay with the text."""
+    from tidemark.llm.line_dedup import deduped_documents, line_dedup
+
+    rows = fx.shared_ids(fx.corpus())
+    probe = "a line that many documents share"
+    give = lambda i, t: (i, t, *rows[0][2:])
+    rows += [give(3, probe + "\nonly of three, and long enough"), give(3, "a unique first line of the second row\nmore"), *[give(i, probe) for i in (1, 2, 90)]]
+    df = fx.frame(spark, rows)
+    same(line_dedup(df), ("doc_id", "n_lines", "n_dropped", "kept_sha256"), fx.line_dedup(rows))
+    got = deduped_documents(df)
+    assert got.columns == df.columns
+    want = [(r[0], e[3], r[3], r[9]) for r, e in zip(rows, fx.line_dedup(rows))]
+    assert sorted(((r.doc_id, fx.sha(r.text or ""), r.source, r.text_key) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_jaccard_of_repeated_rows(spark):
+    """Repeated rows and rows that share a doc_id bring no link of their own, near the threshold too."""
+    from tidemark.llm.jaccard import jaccard_components
+
+    r = __import__("random").Random(8)
+    words = lambda p, k: [f"{p}{r.randrange(10**6)}" for _ in range(k)]
+    shared, tails = words("s", 150), [words("t", 14) for _ in range(2)]
+    near = [(1, " ".join(shared + tails[0][:10])), (2, " ".join(shared + tails[1][:11]))]  # 0.868
+    others = [(10 + i, " ".join(words("o", 40) + tails[i % 2] + words("o", 30))) for i in range(6)]
+    for rows in (near + others, near + near + others + others, near + [(1, others[0][1]), (1, near[0][1] + " more"), (2, others[2][1])] + others):
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        same(got, ("doc_id", "n_shingles", "component_id"), fx.jaccard_components(rows))
+    rows = fx.shared_ids(fx.corpus())
+    same(jaccard_components(fx.frame(spark, rows)), ("doc_id", "n_shingles", "component_id"), fx.jaccard_components(rows))
+
+
 def test_jaccard_chain(spark):
     """A drifting family: only neighbours link, so the group is one component through many links."""
     from tidemark.llm.jaccard import jaccard_components
@@ -72,21 +104,19 @@ def test_topk(spark):
     rows = [(a, None if v is None else [None if x is None else float(x) for x in v]) for a, v, _ in [tuple(x) for x in df.collect()]]
     expected = fx.topk(rows)
     for options in ({}, {"shard_rows": 20, "query_rows": 3}):
-        got = topk(df.where("vec_id % 20 = 0"), df, **options)
-        if options:  # repeated rows of a query may fall into two blocks
-            got = got.distinct()
-            expected_now = sorted(set(expected))
-        else:
-            expected_now = expected
-        if not options:
-            # a repeated query row is one query: its rows are ranked together
-            assert {x[0] for x in rows_of(got, "query_id", "rank", "vec_id", "score")} == {x[0] for x in expected_now}
-        assert {x for x in rows_of(got.where("query_id <> 40"), "query_id", "rank", "vec_id", "score")} == {x for x in expected_now if x[0] != 40}
+        same(topk(df.where("vec_id % 20 = 0"), df, **options), ("query_id", "rank", "vec_id", "score"), expected)
     import numpy as np
 
     g = np.random.default_rng(0)
     q, c = g.integers(-20, 20, (9, 16)), g.integers(-20, 20, (700, 16))
     a, b, s = search_cell(np.arange(9) * 5, q, np.arange(700), c, 6, block=64, first=32)
+    clear = g.integers(-20, 20, (4000, 3))
+    steps: list = []
+    a2, b2, s2 = search_cell(np.full(9, -1), q[:, :3], np.arange(4000), clear, 6, trace=steps)
+    assert all(sorted(s2[a2 == i])[::-1] == sorted(clear @ q[i, :3])[::-1][:6] for i in range(9))
+    stopped = {d for _, d, k in steps if k}
+    assert stopped and max(stopped) < 1024 and sum(k for _, _, k in steps) == 9 * len({x for x, _, _ in steps})  # each query stops before the lists end
+    assert len({d for at, d, k in steps if at == 0}) >= 1
     for i in range(9):
         best = sorted((-int(q[i] @ c[j]), j) for j in range(700) if j != i * 5)[:6]
         assert [(-int(y), int(x)) for x, y in zip(b[a == i], s[a == i])] == best

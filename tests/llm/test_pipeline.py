@@ -46,7 +46,7 @@ def test_stages(spark, place):
     want = {(r[0], r[1]) for r in rows if r[0] is None or comp[r[0]] == r[0]}
     assert key((r.doc_id, r.text) for r in got.collect()) == key(want)  # a repeated row stays once
 
-    bad = {(e[0], r[1]) for e, r in zip(fx.decontaminate(rows, items), rows) if e[5]}
+    bad = {(e[0], r[1]) for e, r in zip(fx.decontaminate(rows, items), rows) if e[2]}
     got = cp.benchmark(spark, docs, d)
     assert got.columns == docs.columns and bad
     assert key(map(tuple, got.collect())) == key(r for r in rows if (r[0], r[1]) not in bad)

@@ -19,11 +19,13 @@ CHUNK_BYTES = 1 << 17
 # ---------------------------------------------------------------- shared folder
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (tests) an own one."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else (one local JVM, as in tests) an own one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark.sparkContext, "_own_shared_dir", None)
         if at is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
             spark.sparkContext._own_shared_dir = at
             spark.sparkContext.setCheckpointDir(at)
@@ -178,6 +180,22 @@ class RangeHash:
         return _splitmix(x + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class GramHash:
+    """Hashes of byte ranges of at least ``k`` bytes over truncated hashes of their k-grams, which (unlike
+    sums over the bytes) no regular pattern of bytes cancels."""
+
+    def __init__(self, ranges: RangeHash, k: int = 8):
+        self.k, self.down = k, ranges.down
+        n = max(0, len(ranges.sums) - k)
+        x = (ranges.sums[k:] - ranges.sums[: n]) * ranges.down[:n] >> np.uint64(32)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(x * ranges.up[:n], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = (self.sums[end - self.k + 1] - self.sums[start]) * self.down[start]
+        return _splitmix(x + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes not in ``blank``) of every row, and the index of
     each row's first word (one more at the end)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(links: DataFrame, tag: str = "cc", rounds: int = 60, broadcast_rows: int = 500_000) -> DataFrame:
+def components(links: DataFrame, tag: str = "cc", broadcast_rows: int = 500_000) -> DataFrame:
     """(node, component) of every node of links (a, b): the smallest node reachable.
 
     Each round takes the smallest label among a node's neighbours (map-side
@@ -22,7 +22,9 @@ def components(links: DataFrame, tag: str = "cc", rounds: int = 60, broadcast_ro
     n = label.count()
     small = n <= broadcast_rows
     side = F.broadcast if small else (lambda d: d)
-    for i in range(1, rounds + 1):
+    i = 0
+    while True:  # labels only fall, so it settles
+        i += 1
         seen = both.join(side(label.toDF("near", "c")), "near").groupBy("node").agg(F.min("c").alias("c"))
         low = seen.join(side(label), "node").select("node", F.least("component", "c").alias("low"), F.col("component").alias("old"))
         new = low.join(side(label.toDF("low", "c")), "low", "left").select("node", F.least("low", "c").alias("component"), "old")
@@ -30,4 +32,3 @@ def components(links: DataFrame, tag: str = "cc", rounds: int = 60, broadcast_ro
         label = new.select("node", "component")
         if new.where("component <> old").isEmpty():
             return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -8,21 +8,23 @@ document's segment of a fragment meets only the segments of its candidates in
 that fragment, the partial overlaps are counted there and summed per pair, which
 gives the exact intersection.
 
-Copies are never expanded into all pairs. Equal sets are one node. Of a group
+Copies are never expanded into all pairs. A node is a distinct set. Of a group
 that shares a prefix shingle every document is first compared with a pivot only
 (its most frequent one); whatever is then in one component needs no further
 comparison, and only pairs across components are verified in the second round, so
 no link between components is lost.
 
 Frequencies come from one counter table of ``2**bits`` cells over all documents,
-sized from the text's bytes up to ``max_bits``; estimates only order shingles and
-never change the result. Shingles are 64-bit hashes; counts are taken within one
+sized from the text's bytes up to ``max_bits`` (beyond, shingles share cells, so that
+only those far more frequent than a cell's share stand out); estimates only order
+shingles and never change the result. Shingles are 64-bit hashes; counts are taken within one
 pair, where two different shingles would have to collide.
 
 Defined cases: null text, or text without words, has an empty set (n_shingles 0)
-and links with nothing; fewer words than ``n`` are one shingle; rows sharing a
-doc_id are one document (linked if any of its rows is); a null doc_id links with
-nothing and has a null component; other columns are ignored.
+and links with nothing; fewer words than ``n`` are one shingle; of rows that share a
+doc_id each set is compared by itself, repeated sets once, and their links are all
+links of the doc_id; a null doc_id links with nothing and has a null component; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, mix, pow2_at_least, total_bytes, word_bounds
 from .components import components
+from .segments import hot_join
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -114,6 +117,16 @@ def frequency_classes(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     return out
 
 
+def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each row's set."""
+    d1, d2 = np.zeros(len(bounds) - 1, np.uint64), np.zeros(len(bounds) - 1, np.uint64)
+    some = np.diff(bounds) > 0
+    if len(h):
+        d1[some] = np.add.reduceat(mix(h ^ _C[0]), bounds[:-1][some])
+        d2[some] = np.add.reduceat(mix(h + _C[2]), bounds[:-1][some])
+    return d1, d2
+
+
 def _prefix_task(n: int, bits: int, percent: int, shared):
     names = ["doc_id", "n", "d1", "d2", "prefix"]
 
@@ -124,12 +137,9 @@ def _prefix_task(n: int, bits: int, percent: int, shared):
             for at, to, data, offs in chunks(b):
                 h, bounds = shingle_sets(data, offs, n)
                 key = (cls[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-                m1, m2 = mix(h ^ _C[0]), mix(h + _C[2])
+                d1, d2 = _digests(h, bounds)
                 size = np.diff(bounds)
                 some = size > 0
-                d1, d2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
-                if len(h):
-                    d1[some], d2[some] = np.add.reduceat(m1, bounds[:-1][some]), np.add.reduceat(m2, bounds[:-1][some])
                 p = np.where(some, size - (size * percent + 99) // 100 + 1, 0)
                 out = []
                 for r in np.flatnonzero(some):
@@ -159,7 +169,7 @@ def cut_points(classes: np.ndarray, fragments: int) -> np.ndarray:
 
 def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
     """Segments of the documents whose id is in the filter of wanted ids."""
-    names = ["doc_id", "fragment", "tokens"]
+    names = ["doc_id", "d1", "d2", "fragment", "tokens"]
 
     def run(batches):
         cls, wanted, wbits = shared.value
@@ -172,6 +182,7 @@ def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
             ids = ids[hit]
             for at, to, data, offs in chunks(b):
                 h, bounds = shingle_sets(data, offs, n)
+                d1, d2 = _digests(h, bounds)
                 key = (cls[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 frag = np.searchsorted(cuts, key, side="right")
                 row = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
@@ -179,7 +190,8 @@ def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
                 cell = (row * (len(cuts) + 1) + frag)[order]
                 new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
                 tokens = [as_long(x).tobytes() for x in np.split(h[order], new[1:])] if len(cell) else []
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][cell[new] // (len(cuts) + 1)]), pa.array(cell[new] % (len(cuts) + 1), pa.int32()), pa.array(tokens, pa.binary())], names=names)
+                of = cell[new] // (len(cuts) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][of]), pa.array(as_long(d1)[of]), pa.array(as_long(d2)[of]), pa.array(cell[new] % (len(cuts) + 1), pa.int32()), pa.array(tokens, pa.binary())], names=names)
 
     return run
 
@@ -187,7 +199,9 @@ def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
 def _overlap(key, table):
     """Partial overlaps of a pivot's segment with those of some of its candidates."""
     pivot = key[0].as_py()
-    ids, tokens = table["doc_id"].to_numpy(), table["tokens"]
+    once = np.sort(np.unique(table["node"].to_numpy(), return_index=True)[1])  # a repeated row brings its segment again
+    table = table.take(pa.array(once))
+    ids, tokens = table["node"].to_numpy(), table["tokens"]
     own = np.flatnonzero(table["is_pivot"].to_numpy(zero_copy_only=False))
     out = np.zeros(len(ids), np.int64)
     if len(own):
@@ -203,26 +217,31 @@ def _overlap(key, table):
     return pa.table({"a": np.full(k, pivot, np.int64), "b": ids[keep], "common": out[keep], "na": np.full(k, na, np.int64), "nb": size[keep]})
 
 
-def overlaps(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bits: int, fragments: int, group: int = 256) -> DataFrame:
-    """(a, b, common, na, nb): exact intersections of candidate pairs (a, b, na, nb), a the pivot."""
+def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.ndarray, n: int, bits: int, fragments: int, group: int = 256) -> DataFrame:
+    """(a, b, common, na, nb): exact intersections of candidate pairs (a, b, na, nb) of nodes, a the pivot.
+
+    nodes: node, rep (the doc_id whose row stands for it), d1, d2 (its set's digests).
+    """
     spark = docs.sparkSession
     count = pairs.count()
     wbits = pow2_at_least(count * 32, 13, 28)
 
     def ids_task(batches):
         for b in batches:
-            h = mix(bloom.sorted_unique(np.concatenate([ints(b.column("a")), ints(b.column("b"))])).view(np.uint64))
+            h = mix(bloom.sorted_unique(ints(b.column("doc_id"))).view(np.uint64))
             yield bloom.emit(h, h, wbits, TaskContext.get().partitionId())
 
-    wanted = bloom.twice_filter(pairs.select("a", "b").mapInArrow(ids_task, bloom.SCHEMA), wbits)
-    shared = spark.sparkContext.broadcast((classes, wanted, wbits))  # one byte a cell and at most 64 MB
-    seg = as_docs(docs).mapInArrow(_segments_task(n, bits, cut_points(classes, fragments), shared), "doc_id long, fragment int, tokens binary")
     # a pivot with many candidates is met in parts of about `group` of them
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("parts"), F.max("na").alias("na"))
-    sides = pairs.join(degree.select("a", "parts"), "a").select("a", "b", "nb", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    as_b = sides.select(F.col("b").alias("doc_id"), "a", "part", F.lit(False).alias("is_pivot"), F.col("nb").alias("size"))
-    as_a = degree.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"), F.col("na").alias("size"))
-    met = seg.join(as_b.unionAll(as_a), "doc_id").groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long, na long, nb long")
+    with_parts = pairs.join(degree.select("a", "parts"), "a").select("a", "b", "nb", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    as_b = with_parts.select(F.col("b").alias("node"), "a", "part", F.lit(False).alias("is_pivot"), F.col("nb").alias("size"))
+    as_a = degree.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_pivot"), F.col("na").alias("size"))
+    both = as_b.unionAll(as_a)
+    sides = materialize(both.join(nodes.withColumnRenamed("rep", "doc_id"), "node"), "jac-sides")
+    wanted = bloom.twice_filter(sides.select("doc_id").mapInArrow(ids_task, bloom.SCHEMA), wbits)
+    shared = spark.sparkContext.broadcast((classes, wanted, wbits))  # one byte a cell and at most 64 MB
+    seg = as_docs(docs).mapInArrow(_segments_task(n, bits, cut_points(classes, fragments), shared), "doc_id long, d1 long, d2 long, fragment int, tokens binary")
+    met = seg.join(sides, ["doc_id", "d1", "d2"]).drop("doc_id", "d1", "d2").groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long, na long, nb long")
     return met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
@@ -257,18 +276,20 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     shared = spark.sparkContext.broadcast(classes)  # 2**bits bytes, at most 2**max_bits
     pre = materialize(d.mapInArrow(_prefix_task(n, bits, percent, shared), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "jac-prefix")
     rows = pre.select("doc_id", "n", "d1", "d2")
-    live = rows.where("n > 0 and doc_id is not null")
-    # equal sets: one node, the smallest doc_id
-    reps = live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    same = live.join(reps.where("rows > 1"), ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    # equal sets: one node, named by the smallest doc_id that has the set; a doc_id that is smallest for several names them by hash
+    sets = pre.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = materialize(sets, "jac-sets")
+    shared_rep = sets.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep", F.lit(True).alias("shared"))
+    lone = sets.join(shared_rep, "rep", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("rep", "d1", "d2")).otherwise(F.col("rep"))) if not shared_rep.isEmpty() else sets.withColumn("node", F.col("rep"))
+    nodes = lone.select("node", "rep", "d1", "d2")
+    many = sets.where("rows > 1").select("d1", "d2", "rep", "rows")
+    same = hot_join(rows.where("n > 0 and doc_id is not null"), many, ["d1", "d2"], rows.count()).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     same = materialize(same.distinct(), "jac-same")
-    copies = same.select(F.col("b").alias("doc_id")).distinct()
-    lone = pre.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
     # prefix shingles that one document alone has are dropped before anything shuffles
     pbits = pow2_at_least(bloom.BITS_A_HASH * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 28)
     shared_tokens = spark.sparkContext.broadcast(bloom.twice_filter(lone.select("prefix").mapInArrow(_tokens_seen(pbits), bloom.SCHEMA), pbits))
     fit = F.lit(100 / percent).cast("double")
-    tok = lone.select("doc_id", "n", "prefix").mapInArrow(_tokens_kept(pbits, shared_tokens), "doc long, n long, pos int, t long")
+    tok = lone.select(F.col("node").alias("doc_id"), "n", "prefix").mapInArrow(_tokens_kept(pbits, shared_tokens), "doc long, n long, pos int, t long")
     tok = materialize(tok.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(fit)).cast("int")), "jac-tokens")
     shared_tokens.unpersist()
 
@@ -286,7 +307,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
         return v.where(F.col("votes") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need(F.col("na"), F.col("nb"))).select("a", "b", "votes", "na", "nb")
 
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
-        got = overlaps(d, pairs, classes, n, bits, fragments)
+        got = overlaps(d, nodes, pairs, classes, n, bits, fragments)
         return materialize(got.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), tag)
 
     # round one: each document with its most frequent pivot
@@ -311,6 +332,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     second = materialize(across.join(done, ["a", "b"], "left_anti"), "jac-pairs2")
     if not second.isEmpty():
         links = links.unionAll(linked(second, "jac-links2"))
+    if not shared_rep.isEmpty():
+        name = nodes.where("node <> rep")
+        for c in ("a", "b"):
+            own = name.select(F.col("node").alias(c), "rep")
+            links = links.join(own, c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep").select("a", "b")
     final = components(links.unionAll(same), "jac-cc2")
     out = rows.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

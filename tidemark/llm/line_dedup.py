@@ -10,9 +10,10 @@ The filter is sized from the text's bytes, up to ``max_filter_bits``; past that
 fills up and lets more lines through to the exact step, which never changes results.
 
 Defined cases: null or empty text is one empty line; a line shorter than
-``min_chars`` code points after stripping is never dropped; rows sharing a doc_id
-count as one document; rows with a null doc_id count for no line and drop none;
-ties (a line twice in the keeping document) all stay; other columns are ignored.
+``min_chars`` code points (at least 8) after stripping is never dropped; rows sharing a
+doc_id count as one document where documents are counted and the keeper is chosen,
+and each loses its own lines only; rows with a null doc_id count for no line and drop
+none; ties (a line twice in the keeping document) all stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, pow2_at_least, total_bytes, word_bounds
+from .common import LOWER, GramHash, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, pow2_at_least, text_key, total_bytes, word_bounds
 from .segments import hot_join
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
@@ -72,44 +73,47 @@ def _filter_task(min_chars: int, bits: int):
 
 
 def _suspects(min_chars: int, bits: int, shared):
-    names = ["k1", "k2", "doc_id", "lines"]
+    names = ["k1", "k2", "doc_id", "tk", "lines"]
 
     def run(batches):
         filt = shared.value
         for b in batches:
-            ids = ints(b.column("doc_id"))
+            ids, tks = ints(b.column("doc_id")), ints(b.column("tk"))
             for at, to, data, offs in chunks(b):
                 row, number, s, e = _lines(data, offs, min_chars)
-                low = LOWER[data]
-                h = RangeHash(low).of(s, e)
+                ranges = RangeHash(LOWER[data])
+                h = ranges.of(s, e)
                 hit = bloom.contains(filt, bits, h) & (ids[at:to][row] != -(1 << 63))
                 row, number, s, e, h = row[hit], number[hit], s[hit], e[hit], h[hit]
-                h2 = RangeHash(low, 1).of(s, e)
+                h2 = GramHash(ranges).of(s, e)
                 order = np.lexsort((number, h2, h, row))
                 row, number, h, h2 = row[order], number[order], h[order], h2[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (row[1:] != row[:-1])
                 first = np.flatnonzero(new)
                 lists = list_column(number, np.append(first, len(h)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[first])), pa.array(as_long(h2[first])), pa.array(ids[at:to][row[first]]), lists], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(h[first])), pa.array(as_long(h2[first])), pa.array(ids[at:to][row[first]]), pa.array(tks[at:to][row[first]]), lists], names=names)
 
     return run
 
 
+def without(text: str, gone) -> str:
+    """The text without the lines of these numbers."""
+    if not gone:
+        return text
+    gone = set(gone)
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
 def _rewrite(with_text: bool):
     def run(batches):
         for b in batches:
             out = []
             for text, drop in zip(b.column("text"), b.column("dropped")):
                 t = text.as_py() or ""
-                gone = drop.as_py()
-                n = t.count("\n") + 1
-                if gone:
-                    gone = set(gone)
-                    kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-                else:
-                    gone, kept = (), t
-                out.append((n, len(gone), kept if with_text else None, hashlib.sha256(kept.encode()).hexdigest()))
+                gone = drop.as_py() or ()
+                kept = without(t, gone)
+                out.append((t.count("\n") + 1, len(gone), kept if with_text else None, hashlib.sha256(kept.encode()).hexdigest()))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text", "kept_sha256"])
 
@@ -117,21 +121,47 @@ def _rewrite(with_text: bool):
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 28) -> DataFrame:
-    """(doc_id, dropped): the numbers, from 0, of the lines each document loses."""
+    """(doc_id, tk, dropped): the numbers, from 0, of the lines each text of a document loses."""
+    if min_chars < 8:
+        raise ValueError("min_chars must be at least 8")
     spark = docs.sparkSession
-    d = as_docs(docs)
+    d = as_docs(docs).withColumn("tk", text_key("text"))
     bits = pow2_at_least(total_bytes(d, "text") / 16, 16, max_filter_bits)
     filt = bloom.twice_filter(d.mapInArrow(_filter_task(min_chars, bits), bloom.SCHEMA), bits)
     shared = spark.sparkContext.broadcast(filt)  # at most 2**max_filter_bits bits
-    sus = materialize(d.mapInArrow(_suspects(min_chars, bits, shared), "k1 long, k2 long, doc_id long, lines array<int>"), "lines")
+    sus = materialize(d.mapInArrow(_suspects(min_chars, bits, shared), "k1 long, k2 long, doc_id long, tk long, lines array<int>"), "lines")
     shared.unpersist()
-    held = sus.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    held = materialize(held.where(F.col("n") >= min_docs).select("k1", "k2", "keeper", F.col("n").alias("rows")), "lines-held")
-    gone = hot_join(sus, held, ["k1", "k2"], sus.count()).where("doc_id <> keeper").select("doc_id", "lines")
-    return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
+    held = sus.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows")).groupBy("k1", "k2").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("keeper"))
+    held = materialize(held.where(F.col("n") >= min_docs).select("k1", "k2", "keeper", "rows"), "lines-held")
+    gone = hot_join(sus, held, ["k1", "k2"], sus.count()).where("doc_id <> keeper").select("doc_id", "tk", "lines")
+    return gone.groupBy("doc_id", "tk").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("dropped"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bits: int = 28, with_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text, kept_sha256."""
     gone = dropped_lines(docs, min_chars, min_docs, max_filter_bits)
-    return as_docs(docs).join(gone, "doc_id", "left").mapInArrow(_rewrite(with_text), OUT)
+    return as_docs(docs).withColumn("tk", text_key("text")).join(gone, ["doc_id", "tk"], "left").drop("tk").mapInArrow(_rewrite(with_text), OUT)
+
+
+def deduped_documents(docs: DataFrame, **options) -> DataFrame:
+    """The input's rows and columns with the lines gone from ``text`` (string), where any goes."""
+    gone = dropped_lines(docs, **options).toDF("__id", "__tk", "__dropped")
+    schema = docs.schema
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            text, gone_ = b.column(at), b.column(b.num_columns - 1)
+            hit = np.flatnonzero(np.asarray(gone_.is_valid()))
+            if len(hit):
+                t = text.to_pylist()
+                for i in hit.tolist():
+                    t[i] = without(t[i] or "", gone_[i].as_py())
+                text = pa.array(t, text.type)
+            cols = b.columns[:-1]
+            cols[at] = text
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    key = F.col("__d.doc_id").cast("long") == F.col("__id")
+    d = docs.alias("__d").join(gone, key & (text_key(F.col("__d.text").cast("string")) == F.col("__tk")), "left")
+    return d.select(*[F.col(f"__d.`{c}`") for c in names], "__dropped").mapInArrow(run, schema)

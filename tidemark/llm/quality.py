@@ -164,13 +164,14 @@ class Network:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_labels: int) -> DataFrame:
     """At most max_labels documents (doc_id, text, y): by the order of a hash of doc_id within
-    each class, no class more than half; none of the held-out fold."""
+    each class, no class more than half; none of the held-out fold; of a doc_id's texts one, by hash."""
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % folds
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(fold != held).distinct()
     order = F.xxhash64("doc_id"), F.col("doc_id")
     each = max(1, max_labels // 2)
     chosen = y.where("y = 0").orderBy(*order).limit(each).unionAll(y.where("y = 1").orderBy(*order).limit(each))
-    return as_docs(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text", "y"])
+    found = as_docs(docs).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct("h", "text")).alias("t")).select("doc_id", "t.text", "y")
 
 
 def _text_arrays(texts: list[str | None]):

@@ -215,8 +215,11 @@ def _read_task(with_payload: bool):
 
 def read_warc(spark: SparkSession, files: list[tuple[str, int]], split_bytes: int = 4 << 20, with_payload: bool = True) -> DataFrame:
     """Records of archives of gzip members, each file cut into ranges of ``split_bytes``."""
-    ranges = [(f, n, at, min(n, at + split_bytes)) for f, n in files for at in range(0, n, split_bytes)]
-    df = spark.createDataFrame(ranges, "file string, size long, start long, end long")
+    df = spark.createDataFrame(files, "file string, size long").where("size > 0")
+    starts = F.explode(F.expr(f"sequence(0L, size - 1, {int(split_bytes)}L)"))
+    df = df.repartition(max(1, min(len(files), 4096)), "file").select("file", "size", starts.alias("start"))
+    df = df.repartition(max(1, min(sum(-(-n // split_bytes) for _, n in files), 100_000)), "file", "start")
+    df = df.withColumn("end", F.least("size", F.col("start") + split_bytes)).select("file", "size", "start", "end")
     return df.mapInArrow(_read_task(with_payload), RECORDS)
 
 
