@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import fresh_path, remove, remove_at_end
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard import jaccard_components
-from tidemark.llm.line_dedup import dropped_lines
+from tidemark.llm.line_dedup import deduped_documents
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.quality import keep_good
 
@@ -33,11 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that later documents repeat."""
-    gone = dropped_lines(docs).withColumnRenamed("dropped", "__dropped")
-    d = docs.join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__dropped", i)), "\n")
-    d = d.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)).drop("__dropped")
-    return d.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return deduped_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    bad = decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_key").alias("__text")).distinct()
+    """Documents that hold no window of the benchmark: one passage is enough, however long the document."""
+    bad = decontaminate(docs, _table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_key").alias("__text")).distinct()
     d = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__text": F.xxhash64(F.col("text").cast("string"))})
     return d.join(bad, ["__id", "__text"], "left_anti").select(*docs.columns)
 
