@@ -167,31 +167,42 @@ def cut_points(classes: np.ndarray, fragments: int) -> np.ndarray:
     return (c.astype(np.uint64) << np.uint64(56)) | (part * 2.0**56).astype(np.uint64)
 
 
-def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
-    """Segments of the documents whose id is in the filter of wanted ids."""
-    names = ["doc_id", "d1", "d2", "fragment", "tokens"]
+def _wanted_task(shared):
+    """Rows whose doc_id is in the filter of wanted ones."""
 
     def run(batches):
-        cls, wanted, wbits = shared.value
+        wanted, wbits = shared.value
         for b in batches:
             ids = ints(b.column("doc_id"))
-            hit = bloom.contains(wanted, wbits, mix(ids.view(np.uint64))) & (ids != -(1 << 63))
-            if not hit.any():
-                continue
-            b = b.filter(pa.array(hit))
-            ids = ids[hit]
+            yield b.filter(pa.array(bloom.contains(wanted, wbits, mix(ids.view(np.uint64))) & (ids != -(1 << 63))))
+
+    return run
+
+
+def _segments_task(n: int, bits: int, cuts: np.ndarray, shared):
+    """The segments of documents that came with a pair's side."""
+    sides = ["a", "part", "node", "is_pivot", "size"]
+
+    def run(batches):
+        cls = shared.value
+        for b in batches:
+            want1, want2 = ints(b.column("d1")), ints(b.column("d2"))
             for at, to, data, offs in chunks(b):
                 h, bounds = shingle_sets(data, offs, n)
                 d1, d2 = _digests(h, bounds)
+                own = (as_long(d1) == want1[at:to]) & (as_long(d2) == want2[at:to])  # a doc_id may have other sets
                 key = (cls[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 frag = np.searchsorted(cuts, key, side="right")
                 row = np.repeat(np.arange(len(offs) - 1), np.diff(bounds))
+                h, frag, row = h[own[row]], frag[own[row]], row[own[row]]
                 order = np.argsort(row * (len(cuts) + 1) + frag, kind="stable")
                 cell = (row * (len(cuts) + 1) + frag)[order]
-                new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-                tokens = [as_long(x).tobytes() for x in np.split(h[order], new[1:])] if len(cell) else []
-                of = cell[new] // (len(cuts) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][of]), pa.array(as_long(d1)[of]), pa.array(as_long(d2)[of]), pa.array(cell[new] % (len(cuts) + 1), pa.int32()), pa.array(tokens, pa.binary())], names=names)
+                if not len(cell):
+                    continue
+                new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                tokens = [as_long(x).tobytes() for x in np.split(h[order], new[1:])]
+                of = pa.array(cell[new] // (len(cuts) + 1) + at)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in sides), pa.array(cell[new] % (len(cuts) + 1), pa.int32()), pa.array(tokens, pa.binary())], names=[*sides, "fragment", "tokens"])
 
     return run
 
@@ -239,9 +250,11 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.nd
     both = as_b.unionAll(as_a)
     sides = materialize(both.join(nodes.withColumnRenamed("rep", "doc_id"), "node"), "jac-sides")
     wanted = bloom.twice_filter(sides.select("doc_id").mapInArrow(ids_task, bloom.SCHEMA), wbits)
-    shared = spark.sparkContext.broadcast((classes, wanted, wbits))  # one byte a cell and at most 64 MB
-    seg = as_docs(docs).mapInArrow(_segments_task(n, bits, cut_points(classes, fragments), shared), "doc_id long, d1 long, d2 long, fragment int, tokens binary")
-    met = seg.join(sides, ["doc_id", "d1", "d2"]).drop("doc_id", "d1", "d2").groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long, na long, nb long")
+    known, filt = spark.sparkContext.broadcast(classes), spark.sparkContext.broadcast((wanted, wbits))  # one byte a cell, and at most 2**25 bytes
+    # the text, half the size of its shingles, goes to its pairs; its segments then go to their fragments
+    text = as_docs(docs).mapInArrow(_wanted_task(filt), "doc_id long, text string").join(sides.hint("merge"), "doc_id")
+    seg = text.mapInArrow(_segments_task(n, bits, cut_points(classes, fragments), known), "a long, part int, node long, is_pivot boolean, size long, fragment int, tokens binary")
+    met = seg.groupBy("a", "part", "fragment").applyInArrow(_overlap, "a long, b long, common long, na long, nb long")
     return met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
