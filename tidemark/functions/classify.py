@@ -10,10 +10,10 @@ VENDOR = ["node_modules", "vendor", "third_party", "thirdparty", "dist", "build"
 TESTS = ["test", "tests", "__tests__", "e2e", "spec", "specs", "testing", "testutils", "test_utils", "testutil", "test_util", "testsupport", "test_support"]
 DATA = ["fixtures", "fixture", "snapshots", "__snapshots__", "testdata"]
 GENERATED = ["migrations", "generated", "__generated__", "gen"]
-FIX_WORDS = (
-    "fix fixes fixed fixing bugfix bugfixes hotfix hotfixes bug bugs buggy regression regressions regress regressed broke broken "
-    "crash crashes crashed crashing repair repairs repaired correct corrects corrected correction patch patched wrong incorrect flake flaky flakey"
-).split()
+FIX_WORDS = [
+    "fix", "fixes", "fixed", "fixing", "bugfix", "bugfixes", "hotfix", "hotfixes", "bug", "bugs", "buggy", "regression", "regressions", "regress", "regressed", "broke",
+    "broken", "crash", "crashes", "crashed", "crashing", "repair", "repairs", "repaired", "correct", "corrects", "corrected", "correction", "patch", "patched", "wrong", "incorrect", "flake", "flaky", "flakey",
+]
 BOTS = ["[bot]", "dependabot", "renovate", "pre-commit-ci"]
 MARKERS = ["@generated", "code generated", "do not edit", "auto-generated", "autogenerated"]
 TEST_SUFFIXES = ["_test", ".test", ".spec", ".snapshots", "Probes"]

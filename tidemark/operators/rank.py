@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.cut import cut
+
 # Weights with and without history.
 WITH_HISTORY = {"hotspot": 0.45, "fixes": 0.15, "complexity": 0.15, "coupling": 0.10, "clones": 0.10, "size": 0.05, "dead": 0.05, "strings": 0.0}
 WITHOUT_HISTORY = {"hotspot": 0.0, "fixes": 0.0, "complexity": 0.55, "coupling": 0.15, "clones": 0.15, "size": 0.15, "dead": 0.05, "strings": 0.0}
@@ -14,20 +16,27 @@ SIGNALS = ["hotspot", "fixes", "complexity", "coupling", "clones", "size", "dead
 def percentile(df: DataFrame, key: str, columns: list[str], within: list[str] | None = None) -> DataFrame:
     """(key, p_<column>...): the index of the first equal value over n - 1, 0 for a single row.
 
-    The rank is a distributed one: values are counted first and the running total is
-    taken over distinct values, so no window holds the rows themselves.
+    All columns are ranked in one pass: values are counted per signal, the counts are
+    range-partitioned by value, and a running total within each range is shifted by the totals of
+    the ranges before it, so no task holds a whole signal. Null values are equal and come first.
+    key is unique (within its group).
     """
-    out = df.select(key, *(within or []), *columns)
     group = within or []
-    total = df.groupBy(*group).agg(F.count("*").alias("__n")) if group else df.agg(F.count("*").alias("__n"))
-    for c in columns:
-        counts = df.groupBy(*group, c).agg(F.count("*").alias("__k"))
-        w = Window.partitionBy(*group).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        less = counts.withColumn("__less", F.coalesce(F.sum("__k").over(w), F.lit(0))).drop("__k")
-        less = less.join(F.broadcast(total)) if not group else less.join(total, group)  # one row
-        less = less.select(*group, c, F.when(F.col("__n") < 2, 0.0).otherwise(F.col("__less") / (F.col("__n") - 1)).alias(f"p_{c}"))
-        out = out.join(less, [*group, c])
-    return out.select(key, *group, *[f"p_{c}" for c in columns])
+    least = F.lit(float("-inf"))
+    signal = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c).cast("double"), least).alias("v")) for i, c in enumerate(columns)])
+    long = df.select(key, *group, F.explode(signal).alias("x")).select(key, *group, "x.i", "x.v")
+    counts = long.groupBy(*group, "i", "v").agg(F.count("*").alias("k"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = cut(counts.repartitionByRange(n, *group, "i", "v").withColumn("part", F.spark_partition_id()))
+    own = laid.groupBy(*group, "i", "part").agg(F.sum("k").alias("own"))
+    parts = Window.partitionBy(*group, "i")
+    before = own.select(*group, "i", "part", F.coalesce(F.sum("own").over(parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("own").over(parts).alias("n"))
+    inside = F.coalesce(F.sum("k").over(Window.partitionBy(*group, "i", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group]
+    both = laid.withColumn("inside", inside).alias("l").join(before.alias("r"), [*same, F.col("l.i") == F.col("r.i"), F.col("l.part") == F.col("r.part")])
+    ranked = both.select(*[F.col(f"l.{c}") for c in group], F.col("l.i"), F.col("l.v"), F.when(F.col("n") < 2, 0.0).otherwise((F.col("inside") + F.col("before")) / (F.col("n") - 1)).alias("p"))
+    got = long.alias("l").join(ranked.alias("r"), [*same, F.col("l.i") == F.col("r.i"), F.col("l.v").eqNullSafe(F.col("r.v"))]).select(*[F.col(f"l.{c}") for c in [key, *group]], F.col("l.i"), "p")
+    return got.groupBy(key, *group).agg(*[F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p_{c}") for i, c in enumerate(columns)])
 
 
 def guarded(raw: str) -> F.Column:

@@ -11,6 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``spark.checkpoint.dir``, the folder executors share; an own one only where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir is unset; set it to a folder that the driver and all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classify, text
 from tidemark.operators import clones, families, graph, history, intervals, rank, surface
+from tidemark.plans import listings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -144,28 +145,35 @@ def _signals(s, d):
     li = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(
         F.max("l_quantity").cast("long").alias("max_cognitive"), F.sum("l_quantity").cast("long").alias("total_cognitive"), F.count("*").alias("lines"),
         F.countDistinct("l_partkey").alias("fan_in"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("dead_lines"), F.sum((F.col("l_discount") == 0).cast("long")).alias("clone_lines"),
-        F.sum((F.col("l_tax") == 0).cast("long")).alias("test_units"))
-    zero = {c: F.lit(0).cast("long") for c in ("helper_sites", "family_literals", "clump_members", "declared_sites", "short_share")}
+        F.sum((F.col("l_tax") == 0).cast("long")).alias("test_units"), F.sum((F.col("l_linenumber") == 1).cast("long")).alias("helper_sites"), F.sum((F.col("l_quantity") <= 3).cast("long")).alias("family_literals"),
+        F.sum((F.col("l_quantity") >= 48).cast("long")).alias("clump_members"), F.sum((F.col("l_discount") >= 0.09).cast("long")).alias("declared_sites"), F.sum((F.col("l_quantity") == 7).cast("long")).alias("short_params"))
     sup = table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), (F.col("s_acctbal") < 0).alias("in_runtime_cycle"))
     c = history.churn(t, fl).select("entity", "commits", "fix_commits")
     out = sup.join(li, "entity", "left").join(c, "entity", "left").fillna(0)
-    return out.withColumn("dead_ratio", F.col("dead_lines") / F.greatest("lines", F.lit(1))).withColumns(zero)
+    return out.withColumns({"dead_ratio": F.col("dead_lines") / F.greatest("lines", F.lit(1)), "short_share": F.col("short_params") / F.greatest("lines", F.lit(1))})
 
 
 _SIG = f"""{_FL},
 li AS (SELECT l_suppkey AS e, max(l_quantity)::BIGINT AS max_cognitive, sum(l_quantity)::BIGINT AS total_cognitive, count(*)::BIGINT AS lines, count(DISTINCT l_partkey)::BIGINT AS fan_in,
-       sum((l_returnflag = 'R')::INT)::BIGINT AS dead_lines, sum((l_discount = 0)::INT)::BIGINT AS clone_lines, sum((l_tax = 0)::INT)::BIGINT AS test_units FROM lineitem GROUP BY 1),
+       sum((l_returnflag = 'R')::INT)::BIGINT AS dead_lines, sum((l_discount = 0)::INT)::BIGINT AS clone_lines, sum((l_tax = 0)::INT)::BIGINT AS test_units,
+       sum((l_linenumber = 1)::INT)::BIGINT AS helper_sites, sum((l_quantity <= 3)::INT)::BIGINT AS family_literals, sum((l_quantity >= 48)::INT)::BIGINT AS clump_members, sum((l_discount >= 0.09)::INT)::BIGINT AS declared_sites,
+       sum((l_quantity = 7)::INT)::BIGINT AS short_params FROM lineitem GROUP BY 1),
 sg AS (SELECT s_suppkey AS e, s_acctbal < 0 AS in_cycle, coalesce(max_cognitive, 0) AS max_cognitive, coalesce(total_cognitive, 0) AS total_cognitive, coalesce(lines, 0) AS lines,
        coalesce(fan_in, 0) AS fan_in, coalesce(dead_lines, 0) AS dead_lines, coalesce(clone_lines, 0) AS clone_lines, coalesce(test_units, 0) AS test_units,
-       coalesce(commits, 0) AS commits, coalesce(fix_commits, 0) AS fix_commits, coalesce(dead_lines, 0)::DOUBLE / greatest(coalesce(lines, 0), 1) AS dead_ratio
+       coalesce(commits, 0) AS commits, coalesce(fix_commits, 0) AS fix_commits, coalesce(dead_lines, 0)::DOUBLE / greatest(coalesce(lines, 0), 1) AS dead_ratio,
+       coalesce(helper_sites, 0) AS helper_sites, coalesce(family_literals, 0) AS family_literals, coalesce(clump_members, 0) AS clump_members, coalesce(declared_sites, 0) AS declared_sites, coalesce(short_params, 0)::DOUBLE / greatest(coalesce(lines, 0), 1) AS short_share
        FROM supplier LEFT JOIN li ON s_suppkey = li.e LEFT JOIN ch ON s_suppkey = ch.e),
 pc AS (SELECT *, percent_rank() OVER (ORDER BY commits) AS p_commits, percent_rank() OVER (ORDER BY fix_commits) AS p_fix, percent_rank() OVER (ORDER BY max_cognitive) AS p_max,
        percent_rank() OVER (ORDER BY total_cognitive) AS p_tot, percent_rank() OVER (ORDER BY fan_in) AS p_fan, percent_rank() OVER (ORDER BY clone_lines) AS p_clone,
-       percent_rank() OVER (ORDER BY lines) AS p_lines, percent_rank() OVER (ORDER BY dead_ratio) AS p_dead FROM sg),
+       percent_rank() OVER (ORDER BY lines) AS p_lines, percent_rank() OVER (ORDER BY dead_ratio) AS p_dead,
+       percent_rank() OVER (ORDER BY helper_sites) AS p_help, percent_rank() OVER (ORDER BY family_literals) AS p_lit, percent_rank() OVER (ORDER BY clump_members) AS p_clump, percent_rank() OVER (ORDER BY declared_sites) AS p_decl,
+       percent_rank() OVER (ORDER BY short_share) AS p_short FROM sg),
 cx AS (SELECT *, CASE WHEN max_cognitive = 0 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE * p_max + 0.4::DOUBLE * p_tot END AS cx FROM pc),
 v AS (SELECT e, test_units, sqrt((CASE WHEN commits = 0 THEN 0.0::DOUBLE ELSE p_commits END) * cx) AS hotspot, CASE WHEN fix_commits = 0 THEN 0.0::DOUBLE ELSE p_fix END AS fixes, cx AS complexity,
       greatest(CASE WHEN fan_in = 0 THEN 0.0::DOUBLE ELSE p_fan END, CASE WHEN in_cycle THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END) AS coupling,
-      CASE WHEN clone_lines = 0 THEN 0.0::DOUBLE ELSE p_clone END AS clones, p_lines AS size, CASE WHEN dead_lines = 0 THEN 0.0::DOUBLE ELSE p_dead END AS dead FROM cx)"""
+      CASE WHEN clone_lines = 0 THEN 0.0::DOUBLE ELSE p_clone END AS clones, p_lines AS size, CASE WHEN dead_lines = 0 THEN 0.0::DOUBLE ELSE p_dead END AS dead,
+      CASE WHEN helper_sites = 0 THEN 0.0::DOUBLE ELSE p_help END AS helpers, CASE WHEN family_literals = 0 THEN 0.0::DOUBLE ELSE p_lit END AS strings, CASE WHEN clump_members = 0 THEN 0.0::DOUBLE ELSE p_clump END AS clumps,
+      CASE WHEN declared_sites = 0 THEN 0.0::DOUBLE ELSE p_decl END AS declared, CASE WHEN short_share = 0 THEN 0.0::DOUBLE ELSE p_short END AS naming FROM cx)"""
 
 
 @query(f"""WITH {_SIG}, w AS (SELECT e, CASE WHEN test_units > 0 THEN 1.0::DOUBLE ELSE 1.15::DOUBLE END AS m,
@@ -180,7 +188,7 @@ def hotspot_score(s, d):
 @query(f"""WITH {_SIG}, u AS (
 SELECT e, 'hotspot' AS signal, hotspot AS x, 0.45::DOUBLE AS w FROM v UNION ALL SELECT e, 'fixes', fixes, 0.15 FROM v UNION ALL SELECT e, 'complexity', complexity, 0.15 FROM v
 UNION ALL SELECT e, 'coupling', coupling, 0.1 FROM v UNION ALL SELECT e, 'clones', clones, 0.1 FROM v UNION ALL SELECT e, 'size', size, 0.05 FROM v UNION ALL SELECT e, 'dead', dead, 0.05 FROM v
-UNION ALL SELECT e, unnest(['helpers', 'strings', 'clumps', 'declared', 'naming']), 0.0, 0.0 FROM v)
+UNION ALL SELECT e, 'helpers', helpers, 0.0 FROM v UNION ALL SELECT e, 'strings', strings, 0.0 FROM v UNION ALL SELECT e, 'clumps', clumps, 0.0 FROM v UNION ALL SELECT e, 'declared', declared, 0.0 FROM v UNION ALL SELECT e, 'naming', naming, 0.0 FROM v)
 SELECT e AS entity, signal, round(x, 9)::DOUBLE AS value, w::DOUBLE AS weight, round(100 * x * w, 6)::DOUBLE AS points FROM u""")
 def score_breakdown(s, d):
     c = rank.contributions(_signals(s, d), "entity")
@@ -305,7 +313,7 @@ def _doc_words(s, d):
 
 
 def _pairs12(s, d):
-    return clones.shared_grams(clones.kgrams(_doc_words(s, d), "doc_id", "w", 12), "doc_id", 40)
+    return clones.shared_grams(clones.kgram_sets(_doc_words(s, d), "doc_id", "w", 12), "doc_id", 40)
 
 
 _GR = r"""d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -348,6 +356,19 @@ def winnowed_fingerprints(s, d):
 
 # ------------------------------------------------------------------ surface
 
+_MENTIONS = r"""WITH sy AS (SELECT DISTINCT item_id AS owner, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM benchmark), s AS (SELECT * FROM sy WHERE length(name) >= 5),
+u AS (SELECT DISTINCT doc_id AS unit, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM documents),
+h AS (SELECT owner, unit, s.name FROM s JOIN u ON s.name = u.name), n AS (SELECT owner, count(*)::BIGINT AS symbols FROM s GROUP BY 1), c AS (SELECT owner, count(DISTINCT unit)::BIGINT AS units FROM h GROUP BY 1),
+m AS (SELECT owner, array_to_string(list_sort(list(name)), ',') AS unmentioned FROM s WHERE name NOT IN (SELECT name FROM h) GROUP BY 1)
+SELECT n.owner, coalesce(units, 0)::BIGINT AS units, symbols, coalesce(unmentioned, '') AS unmentioned FROM n LEFT JOIN c ON n.owner = c.owner LEFT JOIN m ON n.owner = m.owner"""
+
+
+@query(_MENTIONS)
+def mention_symbols(s, d):
+    w = lambda t, k, as_: table(s, d, t).select(F.col(k).alias(as_), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("name"))
+    return surface.mention_units(w("benchmark", "item_id", "owner"), w("documents", "doc_id", "unit")).withColumn("unmentioned", F.array_join("unmentioned", ","))
+
+
 @query("""WITH s AS (SELECT item_id, text FROM benchmark), h AS (SELECT item_id, doc_id FROM s JOIN documents d ON contains(d.text, s.text))
 SELECT s.item_id, count(doc_id)::BIGINT AS units, count(doc_id) = 0 AS unmentioned FROM s LEFT JOIN h ON s.item_id = h.item_id GROUP BY s.item_id""")
 def mention_units(s, d):
@@ -475,6 +496,22 @@ def classify_docs(s, d):
     return table(s, d, "documents").select("doc_id", k.alias("kind"))
 
 
+_PATHS = ["vendor/lib/a.py", "src/gen/b.py", "src/core/c_test.py", "tests/d.py", "src/fixtures/e.py", "src/f.py", "src/types.d.ts", "src/g.py"]
+_CODE = r"regexp_matches(x, '[^ \t\n\f\r\x0B]') AND NOT regexp_matches(x, '^[ \t\x0B\f\r]*(#|//|/\*|\*)')"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, text, {_PATHS}[doc_id % 8 + 1] AS path, string_split(text, chr(10)) AS ls FROM documents),
+q AS (SELECT *, len(list_filter(ls, lambda x: {_CODE})) AS code, len(list_filter(ls, lambda x: {_CODE} AND regexp_matches(x, '\b(if|for|while|return|def|fn|function|class|match|switch|try|elif|else|yield|await|impl)\b|=>'))) AS logic,
+lower(array_to_string(ls[1:8], chr(10))) AS head FROM p)
+SELECT doc_id, CASE WHEN path LIKE 'vendor/%' THEN 'vendored'
+WHEN path LIKE '%/gen/%' OR path LIKE '%.d.ts' OR contains(head, '@generated') OR contains(head, 'code generated') OR contains(head, 'do not edit') OR contains(head, 'auto-generated') OR contains(head, 'autogenerated') THEN 'generated'
+WHEN path LIKE 'tests/%' OR path LIKE '%c\_test.py' ESCAPE '\' THEN 'test' WHEN path LIKE '%/fixtures/%' THEN 'data'
+WHEN len(ls) >= 4 AND CASE WHEN code > 0 THEN logic::DOUBLE / code ELSE 0 END < 0.1 THEN 'data' ELSE 'source' END AS kind FROM q""")
+def kind_ladder(s, d):
+    path = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", classify.kind(path, F.col("text"), F.size(F.split("text", "\n", -1)), min_lines=4, max_density=0.1).alias("kind"))
+
+
 @query(r"SELECT doc_id FROM documents WHERE len(list_intersect(regexp_split_to_array(lower(text), '[^a-z0-9]+'), ['fix', 'bug', 'error', 'license', 'copyright'])) > 0")
 def fix_subjects(s, d):
     return table(s, d, "documents").where(classify.is_fix(F.col("text"), ["fix", "bug", "error", "license", "copyright"])).select("doc_id")
@@ -553,3 +590,63 @@ def preceding_item(s, d):
     left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     right = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("last_signup"))
     return surface.as_of(left, right, "user_id", "ts", "last_signup").select("event_id", "last_signup")
+
+
+# ------------------------------------------------------------------ listings
+
+@query(f"WITH {_CO} SELECT a, b, together_nonsweep, round(strength, 9) AS strength, round(lift, 9) AS lift FROM ck ORDER BY ck.together_nonsweep DESC, ck.strength DESC, ck.lift DESC, a, b LIMIT 20")
+def cochange_listing(s, d):
+    return listings.cochange(_co(s, d)).select("a", "b", "together_nonsweep", F.round("strength", 9).alias("strength"), F.round("lift", 9).alias("lift"))
+
+
+@query(f"WITH {_LINES} SELECT line, count(DISTINCT doc_id)::BIGINT AS owners, count(*)::BIGINT AS occurrences FROM l WHERE length(line) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3 ORDER BY owners DESC, occurrences DESC, line LIMIT 20")
+def literal_listing(s, d):
+    return listings.literal_families(message_families(s, d), files="owners", text="line", role=None)
+
+
+@query(f"SELECT * FROM ({ORACLES['near_messages']}) ORDER BY jaccard DESC, a, b LIMIT 20")
+def near_listing(s, d):
+    return listings.near_pairs(near_messages(s, d))
+
+
+@query(f"SELECT * FROM ({ORACLES['param_clumps']}) ORDER BY members DESC, files DESC, names LIMIT 20")
+def clump_listing(s, d):
+    return listings.clumps(param_clumps(s, d))
+
+
+@query(f"SELECT * FROM ({ORACLES['env_seams']}) ORDER BY test_mentions DESC, name LIMIT 20")
+def seam_listing(s, d):
+    return listings.seams(env_seams(s, d))
+
+
+@query(f"""SELECT file, name, category FROM ({ORACLES['dead_categories']}) JOIN part ON name = p_partkey WHERE category IN ('dead', 'test_only')
+ORDER BY category <> 'dead', p_size DESC, name, file LIMIT 20""")
+def dead_listing(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("name"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size")).alias("end"))
+    return listings.dead(dead_categories(s, d).join(p, "name")).select("file", "name", "category")
+
+
+@query("""SELECT l_suppkey AS manifest, l_partkey AS line, count(*)::BIGINT AS commits_since FROM lineitem GROUP BY 1, 2 ORDER BY commits_since DESC, manifest, line LIMIT 20""")
+def orphan_listing(s, d):
+    return listings.orphans(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("manifest"), F.col("l_partkey").alias("line")).agg(F.count("*").alias("commits_since")))
+
+
+@query(f"""SELECT component, count(*)::BIGINT AS size, max(t)::BIGINT AS tokens, min(node) AS first FROM (SELECT node, component, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t FROM ({ORACLES['clone_families']}) JOIN documents ON node = doc_id)
+GROUP BY 1 ORDER BY tokens DESC, first LIMIT 20""")
+def clone_family_listing(s, d):
+    n = _doc_words(s, d).select(F.col("doc_id").alias("node"), F.size("w").cast("long").alias("tokens"))
+    return listings.clone_families(clone_families(s, d).join(n, "node"))
+
+
+@query("""WITH u AS (SELECT user_id AS unit, event_type AS name, min(floor(epoch(ts::TIMESTAMP)))::BIGINT AS lo, max(floor(epoch(ts::TIMESTAMP)))::BIGINT AS hi FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY hi - lo DESC, lo, name) AS rn FROM u) SELECT unit, name, hi - lo AS span FROM r WHERE rn <= 3""")
+def longest_locals(s, d):
+    u = _seconds(s, d).groupBy(F.col("user_id").alias("unit"), F.col("event_type").alias("name")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    return listings.longest_locals(u, "unit").select("unit", "name", "span")
+
+
+@query("""WITH u AS (SELECT l_suppkey AS k, l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, p) AS rn, count(*) OVER (PARTITION BY k) AS m FROM u)
+SELECT k AS entity, string_agg(p::VARCHAR, ', ' ORDER BY rn) || CASE WHEN max(m) > 3 THEN ' +' || (max(m) - 3) || ' more' ELSE '' END AS text, greatest(max(m) - 3, 0)::BIGINT AS more FROM r WHERE rn <= 3 GROUP BY 1""")
+def reason_caps(s, d):
+    u = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), "l_partkey").agg(F.count("*").alias("n"))
+    return listings.capped(u, "entity", "l_partkey", "n")
