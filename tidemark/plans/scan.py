@@ -133,7 +133,7 @@ def signals(files: DataFrame, commits: DataFrame, touches: DataFrame) -> DataFra
     env = sym.where("kind = 'env_read' and not in_test").groupBy(F.col("path").alias("entity")).agg(F.count("*").alias("declared_sites"))
     calls = sym.where("kind = 'local_def' and not in_test").groupBy(F.col("path").alias("entity")).agg(F.count("*").alias("helper_sites"))
     short = sym.where("kind = 'param' and not in_test").groupBy(F.col("path").alias("entity")).agg(F.avg((F.length("name") <= 2).cast("double")).alias("short_share"))
-    test_names = sym.where("kind = 'ref' and in_test").select(F.concat_ws(":", "path", "owner").alias("unit"), "name").distinct()
+    test_names = sym.where("kind = 'ref' and in_test and owner is not null").select(F.concat_ws(":", "path", "owner").alias("unit"), "name").distinct()
     owned = sym.where("kind = 'def' and not in_test and flag").select(F.col("path").alias("owner"), "name")
     tests = surface.mention_units(owned, test_names, min_len=3).select(F.col("owner").alias("entity"), F.col("units").alias("test_units"))
     out = source.join(met.select("entity", "max_cognitive", "total_cognitive"), "entity", "left")
