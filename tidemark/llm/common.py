@@ -57,7 +57,7 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
 def writing(spark: SparkSession):
     """Settings of intermediate writes: their shuffle files go when each ends (nothing reads them
     again), and Arrow batches are small, so that workers hold little text at once."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
