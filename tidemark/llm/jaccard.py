@@ -280,7 +280,7 @@ def _tokens_kept(bits: int, shared):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 23) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 23, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     d = as_docs(docs)
@@ -290,14 +290,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     pre = materialize(d.mapInArrow(_prefix_task(n, bits, percent, shared), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "jac-prefix")
     rows = pre.select("doc_id", "n", "d1", "d2")
     # equal sets: one node, named by the smallest doc_id that has the set; a doc_id that is smallest for several names them by hash
-    sets = pre.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = materialize(sets, "jac-sets")
+    live = rows.where("n > 0 and doc_id is not null")
+    sets = materialize(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n").alias("n")), "jac-sets")
     shared_rep = sets.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep", F.lit(True).alias("shared"))
-    lone = sets.join(shared_rep, "rep", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("rep", "d1", "d2")).otherwise(F.col("rep"))) if not shared_rep.isEmpty() else sets.withColumn("node", F.col("rep"))
-    nodes = lone.select("node", "rep", "d1", "d2")
+    split = not shared_rep.isEmpty()
+    name = F.when(F.col("shared"), F.xxhash64("rep", "d1", "d2")).otherwise(F.col("rep"))
+    nodes = (sets.join(shared_rep, "rep", "left").withColumn("node", name) if split else sets.withColumn("node", F.col("rep"))).select("node", "rep", "d1", "d2")
     many = sets.where("rows > 1").select("d1", "d2", "rep", "rows")
-    same = hot_join(rows.where("n > 0 and doc_id is not null"), many, ["d1", "d2"], rows.count()).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    same = materialize(same.distinct(), "jac-same")
+    copies = hot_join(live, many, ["d1", "d2"], rows.count()).where("doc_id <> rep").select("rep", "doc_id", "d1", "d2").distinct()
+    copies = materialize(copies, "jac-same")
+    same = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    # the rows that stand for nodes; the list of copies is broadcast up to a counted size, else joined by shuffle
+    key = ["doc_id", "d1", "d2"]
+    gone = copies.select(*key)
+    lone = pre.where("n > 0 and doc_id is not null").join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti")
+    again = live.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    if not again.isEmpty():
+        lone = lone.join(again, key, "left_anti").unionByName(lone.join(again, key, "left_semi").dropDuplicates(key))
+    lone = lone.join(nodes.withColumnRenamed("rep", "doc_id"), key) if split else lone.withColumn("node", F.col("doc_id"))
     # prefix shingles that one document alone has are dropped before anything shuffles
     pbits = pow2_at_least(bloom.BITS_A_HASH * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 28)
     shared_tokens = spark.sparkContext.broadcast(bloom.twice_filter(lone.select("prefix").mapInArrow(_tokens_seen(pbits), bloom.SCHEMA), pbits))
@@ -345,7 +355,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     second = materialize(across.join(done, ["a", "b"], "left_anti"), "jac-pairs2")
     if not second.isEmpty():
         links = links.unionAll(linked(second, "jac-links2"))
-    if not shared_rep.isEmpty():
+    if split:
         name = nodes.where("node <> rep")
         for c in ("a", "b"):
             own = name.select(F.col("node").alias(c), "rep")
