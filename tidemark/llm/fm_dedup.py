@@ -201,7 +201,7 @@ def _rewrite(with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16, shard_bytes: int = 2_500_000, with_text: bool = True, **options) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256; a shard indexes about shard_bytes of text."""
-    gone = removed_windows(docs, "word", window, gram, False, _search(window), "fm", shard_bytes, **options)
+def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 16, shard_bytes: int = 2_500_000, shard_words: int = 500_000, with_text: bool = True, **options) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_text, kept_sha256; keys are cut in tables of about shard_bytes of text, a shard indexes about shard_words words of what is left."""
+    gone = removed_windows(docs, "word", window, gram, False, _search(window), "fm", shard_bytes, shard_words, **options)
     return as_docs(docs).withColumn("tk", text_key("text")).join(gone, ["doc_id", "tk"], "left").drop("tk").mapInArrow(_rewrite(with_text), OUT)

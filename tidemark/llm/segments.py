@@ -273,12 +273,9 @@ def _repeated(h: np.ndarray) -> np.ndarray:
     return twice[np.minimum(i, len(twice) - 1)] == h
 
 
-def solve_keys(table: pa.Table, unit: str, w: int, same_doc: bool, search) -> pa.RecordBatch | None:
-    """(key, d, ranges) of the segments of some whole keys.
-
-    search(symbols, sizes, documents, places): of pieces end to end, the (piece, from, to) ranges whose
-    windows also start in a smaller document (places None) or at an earlier place.
-    """
+def cut_keys(table: pa.Table, unit: str, w: int, same_doc: bool) -> dict | None:
+    """The segments of some whole keys cut to the windows that occur again under their key, as distinct pieces:
+    their symbols end to end, sizes, documents and places, and what ``ranges_of_keys`` needs."""
     col = {c: table[c].to_numpy() for c in ("pkey", "pd", "key", "d", "off", "doc_id", "tk", "start")}
     # a segment may come from more than its first place (the filter of places lets some through)
     order = np.lexsort((col["start"], col["tk"], col["doc_id"], col["off"], col["d"], col["key"]))
@@ -312,7 +309,12 @@ def solve_keys(table: pa.Table, unit: str, w: int, same_doc: bool, search) -> pa
     size = (b - a)[piece]
     flat = sym.ids[np.repeat(a[piece], size) + _spread(size)]
     span = int(spot.max(initial=0)) + int(size.max(initial=0)) + 1
-    got, lo, hi = search(flat, size, who[of[piece]], who[of[piece]] * span + spot[piece] if same_doc else None)
+    return {"flat": flat, "size": size, "who": who[of[piece]], "places": who[of[piece]] * span + spot[piece], "col": col, "of": of, "inside": inside, "lead": lead, "piece": piece, "length": b - a, "all_who": who, "spot": spot}
+
+
+def ranges_of_keys(c: dict, same_doc: bool, got: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch | None:
+    """(key, d, ranges) from the (piece, from, to) ranges found, sorted by piece."""
+    col, of, inside, lead, piece, length, who, spot = (c[k] for k in ("col", "of", "inside", "lead", "piece", "length", "all_who", "spot"))
     # ranges of the first places, and later places of equal pieces whole
     later = who[of] > who[of[lead]]
     if same_doc:
@@ -326,7 +328,7 @@ def solve_keys(table: pa.Table, unit: str, w: int, same_doc: bool, search) -> pa
     owner = np.concatenate([of[later], of[src]])
     base = np.concatenate([inside[later], inside[src]]) + col["off"][owner]
     fro = base + np.concatenate([np.zeros(int(later.sum()), np.int64), lo[pos]])
-    to = base + np.concatenate([(b - a)[later], hi[pos]])
+    to = base + np.concatenate([length[later], hi[pos]])
     if not len(owner):
         return None
     order = np.lexsort((fro, owner))
@@ -336,10 +338,38 @@ def solve_keys(table: pa.Table, unit: str, w: int, same_doc: bool, search) -> pa
     return pa.RecordBatch.from_arrays([pa.array(col["key"][owner[cut]]), pa.array(col["d"][owner[cut]]), lists], names=["key", "d", "ranges"])
 
 
-def _keys_whole(unit: str, w: int, same_doc: bool, search, shard_bytes: int):
-    """Streams rows that come sorted by pkey as tables of whole keys of about shard_bytes of text."""
+def _keys_whole(unit: str, w: int, same_doc: bool, search, shard_bytes: int, shard_symbols: int):
+    """Streams rows that come sorted by pkey as tables of whole keys of about shard_bytes of text; what is left
+    of them after the cut is searched together once it has shard_symbols symbols.
+
+    search(symbols, sizes, documents, places): of pieces end to end, the (piece, from, to) ranges, by piece,
+    whose windows also start in a smaller document or at an earlier place. Both are ranks within a table,
+    which holds all of a window's places.
+    """
+
+    def flush(cuts: list[dict]):
+        got, lo, hi = search(*(np.concatenate([c[k] for c in cuts]) for k in ("flat", "size", "who", "places")))
+        at = 0
+        for c in cuts:
+            i, j = np.searchsorted(got, [at, at + len(c["size"])])
+            out = ranges_of_keys(c, same_doc, got[i:j] - at, lo[i:j], hi[i:j])
+            at += len(c["size"])
+            if out is not None:
+                yield out
 
     def run(batches):
+        cuts: list[dict] = []
+        for t in tables(batches):
+            c = cut_keys(t, unit, w, same_doc)
+            if c is not None:
+                cuts.append(c)
+                if sum(len(x["flat"]) for x in cuts) >= shard_symbols:
+                    yield from flush(cuts)
+                    cuts = []
+        if cuts:
+            yield from flush(cuts)
+
+    def tables(batches):
         held: list[pa.RecordBatch] = []
         size, first = 0, None
         for b in batches:
@@ -355,18 +385,14 @@ def _keys_whole(unit: str, w: int, same_doc: bool, search, shard_bytes: int):
             n = int(np.searchsorted(t["pkey"].to_numpy(), last.as_py()))
             held = t.slice(n).to_batches()
             size, first = sum(x.column("payload").nbytes for x in held), last
-            out = solve_keys(t.slice(0, n), unit, w, same_doc, search)
-            if out is not None:
-                yield out
+            yield t.slice(0, n)
         if held:
-            out = solve_keys(pa.Table.from_batches(held).combine_chunks(), unit, w, same_doc, search)
-            if out is not None:
-                yield out
+            yield pa.Table.from_batches(held).combine_chunks()
 
     return run
 
 
-def removed_windows(docs: DataFrame, unit: str, w: int, k: int, same_doc: bool, search, tag: str, shard_bytes: int, max_filter_bits: int = 28, hot_segments: int = 20_000) -> DataFrame:
+def removed_windows(docs: DataFrame, unit: str, w: int, k: int, same_doc: bool, search, tag: str, shard_bytes: int, shard_symbols: int, max_filter_bits: int = 28, hot_segments: int = 20_000) -> DataFrame:
     """(doc_id, tk, ranges): the symbol ranges each document loses.
 
     Without ``same_doc`` a window goes if it starts in a smaller doc_id too; with it, if it starts at a
@@ -409,9 +435,9 @@ def removed_windows(docs: DataFrame, unit: str, w: int, k: int, same_doc: bool,
     shared = spark.sparkContext.broadcast((filt, places_filter, wbits, hot_filter, hbits))  # each at most 2**max_filter_bits bits
     text = d.mapInArrow(_text_task(unit, w, k, bits, shared), TEXT)
     size = (int(windows) + count * (w - 1)) * (6 if unit == "word" else 1)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    parts = max(1, -(-size // PART_BYTES)) if unit == "word" else max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # an index pays for its size, so words come in full parts
     whole = text.repartition(parts, "pkey").sortWithinPartitions("pkey")
-    found = materialize(whole.mapInArrow(_keys_whole(unit, w, same_doc, search, shard_bytes), FOUND), f"{tag}-found")
+    found = materialize(whole.mapInArrow(_keys_whole(unit, w, same_doc, search, shard_bytes, shard_symbols), FOUND), f"{tag}-found")
     shared.unpersist()
     found = found.groupBy("key", "d").agg(F.flatten(F.collect_list("ranges")).alias("ranges")) if n_hot else found
     known = distinct.drop("multi").join(found, ["key", "d"], "left").where("rows > 1 or ranges is not null")

@@ -108,7 +108,7 @@ def _rewrite(with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 1 << 20, memory_symbols: int = 1 << 19, memory_entries: int = 1 << 17, with_text: bool = True, **options) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256; a shard sorts about shard_bytes."""
-    gone = removed_windows(docs, "byte", window, gram, True, _search(window, memory_symbols, memory_entries), "sa", shard_bytes, **options)
+def suffix_dedup(docs: DataFrame, window: int = 100, gram: int = 32, shard_bytes: int = 1 << 20, shard_symbols: int = 1 << 18, memory_symbols: int = 1 << 19, memory_entries: int = 1 << 17, with_text: bool = True, **options) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256; keys are cut in tables of about shard_bytes, a shard sorts what is left of them once it has shard_symbols bytes."""
+    gone = removed_windows(docs, "byte", window, gram, True, _search(window, memory_symbols, memory_entries), "sa", shard_bytes, shard_symbols, **options)
     return as_docs(docs).withColumn("tk", text_key("text")).join(gone, ["doc_id", "tk"], "left").drop("tk").mapInArrow(_rewrite(with_text), OUT)
