@@ -101,9 +101,9 @@ def env_seams(symbols: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def import_edges(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(x, y): Python files that import names which exactly one other production file defines."""
+    """(x, y): production files that import names which exactly one other production file defines."""
     d = symbols.where("kind = 'def' and not in_test").groupBy("name").agg(F.min("path").alias("y"), F.countDistinct("path").alias("n")).where("n = 1")
-    r = symbols.where("kind = 'ref' and detail = 'import'").select(F.col("path").alias("x"), "name").distinct()
+    r = symbols.where("kind = 'ref' and detail = 'import' and not in_test").select(F.col("path").alias("x"), "name").distinct()
     return r.join(d, "name").where("x <> y").select("x", "y").distinct()
 
 
