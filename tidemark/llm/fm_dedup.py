@@ -5,7 +5,7 @@ than once, come to shards by their key. A shard
 builds the suffix array of its distinct pieces over word numbers, keeps the
 Burrows-Wheeler transform as a wavelet matrix (packed bits with block counts) and,
 by suffix rank, the smallest document that holds each segment. The segments are
-then streamed against the index by backward search, all in step: a window that
+then streamed against the index by backward search, in lanes of LANE windows, all in step: a window that
 fails after a few words rules out every window over those words; one that occurs
 is extended to its longest match (matching statistics at its start), and intervals
 of at least the threshold whose match lies in a smaller document are reported.
@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import as_docs, text_key
-from .segments import merged, ranges_of, removed_windows
+from .segments import _spread, merged, ranges_of, removed_windows
+
+LANE = 64  # windows that one lane of the search tests
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
@@ -174,9 +176,20 @@ def _search(w: int):
         t[is_word] = words + m
         rank = np.unique(documents, return_inverse=True)[1]
         index = Index(t, np.repeat(rank, size + 1))
-        lane, a, b = matches(index, t, starts, size, rank, w)
-        order = np.lexsort((a, lane))
-        return lane[order], a[order], b[order]
+        # lanes of at most LANE windows, so that no piece's search outlasts the others'
+        windows = np.maximum(size - w + 1, 0)
+        lanes = -(-windows // LANE)
+        piece, skip = np.repeat(np.arange(m), lanes), LANE * _spread(lanes)
+        length = np.minimum(LANE, windows[piece] - skip) + w - 1
+        lane, a, b = matches(index, t, starts[piece] + skip, length, rank[piece], w)
+        of, a, b = piece[lane], a + skip[lane], b + skip[lane]
+        order = np.lexsort((a, of))
+        of, a, b = of[order], a[order], b[order]
+        # within a piece starts and ends both grow; what meets is one interval
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (a[1:] > b[:-1])
+        last = np.append(new[1:], True)[: len(of)]
+        return of[new], a[new], b[last]
 
     return run
 
