@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import as_docs, text_key
 from .segments import _spread, merged, ranges_of, removed_windows
 
-LANE = 64  # windows that one lane of the search tests
+LANE = 16  # windows that one lane of the search tests
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
