@@ -135,3 +135,37 @@ def test_suffix_shard_beyond_the_queue():
         suffix_sort.BucketQueue.close = close
     assert max(spilled) > 0
     assert sorted(zip(*(x.tolist() for x in got))) == [(2, 0, len(parts[2])), (3, 0, len(parts[3]))]
+
+
+def test_search_lanes():
+    """Pieces of many lanes: the reported ranges cover exactly the windows that a smaller document holds."""
+    import numpy as np
+
+    from tidemark.llm import fm_dedup
+
+    rng = np.random.default_rng(1)
+    for _ in range(12):
+        w, m = int(rng.integers(3, 12)), int(rng.integers(1, 30))
+        base = rng.integers(0, 4, 800)
+        pieces = []
+        for _ in range(m):
+            n = int(rng.integers(w, 260))
+            at = int(rng.integers(0, 800 - n))
+            x = base[at : at + n].copy()
+            x[rng.random(n) < 0.02] = 9
+            pieces.append(x)
+        docs = rng.integers(0, 8, m)
+        of, a, b = fm_dedup._search(w)(np.concatenate(pieces), np.array([len(x) for x in pieces]), docs, None)
+        first: dict = {}
+        for x, d in zip(pieces, docs):
+            for j in range(len(x) - w + 1):
+                key = x[j : j + w].tobytes()
+                first[key] = min(first.get(key, 99), d)
+        for q, (x, d) in enumerate(zip(pieces, docs)):
+            want, got = np.zeros(len(x), bool), np.zeros(len(x), bool)
+            for j in range(len(x) - w + 1):
+                if first[x[j : j + w].tobytes()] < d:
+                    want[j : j + w] = True
+            for i, k in zip(a[of == q], b[of == q]):
+                got[i:k] = True
+            assert (want == got).all()
