@@ -86,7 +86,9 @@ def stream(arrays, bits: int, limit: int = 400_000):
         yield flush()
 
 
-def _merger(width: int):
+def _merger(width: int, last: bool):
+    """Merges a segment's rows; the last merge keeps the second filter only, compressed."""
+
     def merge(table: pa.Table) -> pa.Table:
         count = np.zeros(width, np.uint8)
         for d, o, t in zip(table["dense"].to_pylist(), table["once"], table["twice"]):
@@ -98,6 +100,8 @@ def _merger(width: int):
                 count[np.frombuffer(o, np.uint16)] += 1
                 count[np.frombuffer(t, np.uint16)] += 1
                 count = np.minimum(2, count)
+        if last:
+            return pa.table({"segment": table["segment"][:1], "twice": pa.array([zlib.compress(np.packbits(count > 1).tobytes(), 1)], pa.binary())})
         return pa.table({"segment": table["segment"][:1], "lane": pa.array([0], pa.int32()), "dense": [True], "once": [np.packbits(count > 0).tobytes()], "twice": [np.packbits(count > 1).tobytes()]}, schema=_ARROW)
 
     return merge
@@ -106,21 +110,14 @@ def _merger(width: int):
 _ARROW = pa.schema([("segment", pa.int32()), ("lane", pa.int32()), ("dense", pa.bool_()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _pack(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("segment"), pa.array([zlib.compress(x.as_py(), 1) for x in b.column("twice")], pa.binary())], names=["segment", "twice"])
-
-
 def twice_filter(segments: DataFrame, bits: int) -> np.ndarray:
     """Merges all tasks' segments (LANE tasks at a time, so a group stays small) and returns
     the packed filter of hashes seen twice: 2**bits / 8 bytes, at most 32 MB by the callers' cap."""
     width = 1 << min(bits, SEGMENT_BITS)
-    merge = _merger(width)
-    many = segments.rdd.getNumPartitions() > LANE
-    full = segments.groupBy("segment", "lane").applyInArrow(merge, SCHEMA)
-    if many:
-        full = full.groupBy("segment").applyInArrow(merge, SCHEMA)
-    full = materialize(full.select("segment", "twice").mapInArrow(_pack, "segment int, twice binary"), "filter")
+    keys, packed = ["segment", "lane"], "segment int, twice binary"
+    if segments.rdd.getNumPartitions() > LANE:
+        segments, keys = segments.groupBy(*keys).applyInArrow(_merger(width, False), SCHEMA), ["segment"]
+    full = materialize(segments.groupBy(*keys).applyInArrow(_merger(width, True), packed), "filter")
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in full.toLocalIterator():
         out[r[0] * (width // 8) : (r[0] + 1) * (width // 8)] = np.frombuffer(zlib.decompress(bytes(r[1])), np.uint8)

@@ -53,11 +53,24 @@ def remove_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
+#: Arrow batches of at most so many rows and bytes, so that workers and the JVM's buffers hold little text at once.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch sizes where they are larger or unbounded. They are read when a result is
+    planned, that is by the caller's write, so they stay lowered for the session; results don't depend on them."""
+    for k, v in SMALL_BATCHES.items():
+        now = spark.conf.get(k)
+        if not (now.isdigit() and 0 < int(now) <= v):
+            spark.conf.set(k, str(v))
+
+
 @contextlib.contextmanager
 def writing(spark: SparkSession):
     """Settings of intermediate writes: their shuffle files go when each ends (nothing reads them
-    again), and Arrow batches are small, so that workers hold little text at once."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20)}
+    again), and Arrow batches are small."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | {k: str(v) for k, v in SMALL_BATCHES.items()}
     before = {k: spark.conf.get(k) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, mix, pow2_at_least, total_bytes, word_bounds
+from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, mix, pow2_at_least, small_batches, total_bytes, word_bounds
 from .components import components
 from .segments import hot_join
 
@@ -283,6 +283,7 @@ def _tokens_kept(bits: int, shared):
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 8, max_bits: int = 23, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = as_docs(docs)
     bits = pow2_at_least(total_bytes(d, "text") / 128, 14, max_bits)
     classes = frequency_classes(d, n, bits)

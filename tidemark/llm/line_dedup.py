@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, GramHash, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, pow2_at_least, text_key, total_bytes, word_bounds
+from .common import LOWER, GramHash, RangeHash, as_docs, as_long, chunks, ints, list_column, materialize, pow2_at_least, small_batches, text_key, total_bytes, word_bounds
 from .segments import hot_join
 
 OUT = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
@@ -125,6 +125,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_f
     if min_chars < 8:
         raise ValueError("min_chars must be at least 8")
     spark = docs.sparkSession
+    small_batches(spark)
     d = as_docs(docs).withColumn("tk", text_key("text"))
     bits = pow2_at_least(total_bytes(d, "text") / 16, 16, max_filter_bits)
     filt = bloom.twice_filter(d.mapInArrow(_filter_task(min_chars, bits), bloom.SCHEMA), bits)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, as_docs, chunks, mix, word_bounds
+from .common import RangeHash, as_docs, chunks, mix, small_batches, word_bounds
 
 BUCKET_BITS, DIMS, REACH, NONZERO = 14, 24, 2, 2
 
@@ -203,6 +203,7 @@ def _score_task(shared):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, max_labels: int = 8000):
     """(pooler, network): context vectors from all documents, the network from the bounded sample."""
+    small_batches(docs.sparkSession)
     pooler = Pooler(context_vectors(docs))
     shared = docs.sparkSession.sparkContext.broadcast(pooler)  # 2**bucket_bits rows, whatever the corpus
     rows = training_rows(docs, labels, label, folds, held, max_labels).mapInArrow(_pool_task(shared), "doc_id long, x array<float>, y int").toArrow()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BYTE_WORDS, RangeHash, _powers, _text_buffer, as_docs, as_long, chunks, ints, materialize, mix, pow2_at_least, text_key, total_bytes, word_bounds
+from .common import BYTE_WORDS, RangeHash, _powers, _text_buffer, as_docs, as_long, chunks, ints, materialize, mix, pow2_at_least, small_batches, text_key, total_bytes, word_bounds
 
 MAX_RUN = 512
 PART_BYTES = 1 << 24  # text of wanted segments in a task of the third scan's shuffle
@@ -400,6 +400,7 @@ def removed_windows(docs: DataFrame, unit: str, w: int, k: int, same_doc: bool,
     filters let more rows through to the exact steps.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     d = as_docs(docs).withColumn("tk", text_key("text"))
     per = 4 * w if unit == "word" else w // 3  # bytes of text for each minimizer, roughly
     bits = pow2_at_least(bloom.BITS_A_HASH * total_bytes(d, "text") / per, 14, max_filter_bits)
