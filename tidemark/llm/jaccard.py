@@ -3,7 +3,9 @@
 Sets are the distinct word shingles of a text. One global order of shingles (by
 estimated document frequency, then hash) serves two ends. Documents whose
 necessary prefixes in that order share a shingle, with fitting lengths and
-positions, are candidates; and the order is cut into ``fragments``: each
+positions, are candidates unless signatures (the parity of the shingles in each of
+SIGNATURE_BITS classes of hashes) already differ in more places than linked sets can differ
+in shingles, which drops no link; and the order is cut into ``fragments``: each
 document's segment of a fragment meets only the segments of its candidates in
 that fragment, the partial overlaps are counted there and summed per pair, which
 gives the exact intersection.
@@ -42,6 +44,7 @@ from .common import LOWER, RangeHash, as_docs, as_long, chunks, ints, list_colum
 from .components import components
 from .segments import hot_join
 
+SIGNATURE_BITS = 1024
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -127,8 +130,22 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d1, d2
 
 
+def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each row's set, the parity of the shingles in each class of hashes, 64 classes a word.
+
+    One shingle more or less changes one bit, so two sets differ in at least as many shingles as their signatures in bits.
+    """
+    rows, out = len(bounds) - 1, []
+    row, bit = np.repeat(np.arange(rows), np.diff(bounds)), (mix(h) >> np.uint64(54)).astype(np.int64)
+    for i in range(0, rows, 1024):
+        a, b = bounds[i], bounds[min(rows, i + 1024)]
+        odd = np.bincount((row[a:b] - i) * SIGNATURE_BITS + bit[a:b], minlength=min(1024, rows - i) * SIGNATURE_BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def _prefix_task(n: int, bits: int, percent: int, shared):
-    names = ["doc_id", "n", "d1", "d2", "prefix"]
+    names = ["doc_id", "n", "d1", "d2", "prefix", "sig"]
 
     def run(batches):
         cls = shared.value
@@ -152,7 +169,7 @@ def _prefix_task(n: int, bits: int, percent: int, shared):
                     out.append(x[i])
                 flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
                 lists = list_column(as_long(flat), np.concatenate([[0], np.cumsum(p)]), pa.int64())
-                yield pa.RecordBatch.from_arrays([ids[at:to], pa.array(size, pa.int64()), pa.array(as_long(d1)), pa.array(as_long(d2)), lists], names=names)
+                yield pa.RecordBatch.from_arrays([ids[at:to], pa.array(size, pa.int64()), pa.array(as_long(d1)), pa.array(as_long(d2)), lists, list_column(signatures(h, bounds), np.arange(len(size) + 1) * (SIGNATURE_BITS // 64), pa.int64())], names=names)
 
     return run
 
@@ -288,7 +305,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     bits = pow2_at_least(total_bytes(d, "text") / 128, 14, max_bits)
     classes = frequency_classes(d, n, bits)
     shared = spark.sparkContext.broadcast(classes)  # 2**bits bytes, at most 2**max_bits
-    pre = materialize(d.mapInArrow(_prefix_task(n, bits, percent, shared), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "jac-prefix")
+    pre = materialize(d.mapInArrow(_prefix_task(n, bits, percent, shared), "doc_id long, n long, d1 long, d2 long, prefix array<long>, sig array<long>"), "jac-prefix")
     rows = pre.select("doc_id", "n", "d1", "d2")
     # equal sets: one node, named by the smallest doc_id that has the set; a doc_id that is smallest for several names them by hash
     live = rows.where("n > 0 and doc_id is not null")
@@ -309,6 +326,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     if not again.isEmpty():
         lone = lone.join(again, key, "left_anti").unionByName(lone.join(again, key, "left_semi").dropDuplicates(key))
     lone = lone.join(nodes.withColumnRenamed("rep", "doc_id"), key) if split else lone.withColumn("node", F.col("doc_id"))
+    sigs = materialize(lone.select("node", "sig"), "jac-signatures")
     # prefix shingles that one document alone has are dropped before anything shuffles
     pbits = pow2_at_least(bloom.BITS_A_HASH * (lone.agg(F.sum(F.size("prefix"))).first()[0] or 0), 14, 28)
     shared_tokens = spark.sparkContext.broadcast(bloom.twice_filter(lone.select("prefix").mapInArrow(_tokens_seen(pbits), bloom.SCHEMA), pbits))
@@ -330,6 +348,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
         v = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         return v.where(F.col("votes") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need(F.col("na"), F.col("nb"))).select("a", "b", "votes", "na", "nb")
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) whose signatures differ in no more bits than linked sets of their sizes in shingles."""
+        both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        return both.where(differ <= F.col("na") + F.col("nb") - 2 * need(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+
     def linked(pairs: DataFrame, tag: str) -> DataFrame:
         got = overlaps(d, nodes, pairs, classes, n, bits, fragments)
         return materialize(got.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), tag)
@@ -344,7 +368,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     votes = voted(star.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"), F.col("y.pos").alias("pa"), F.col("x.pos").alias("pb")))
     first = votes.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("votes", -F.col("a"))).alias("p")).select("p.a", "b", "p.na", "p.nb")
     first = materialize(first, "jac-pairs1")
-    links = linked(first, "jac-links1")
+    links = linked(materialize(alike(first), "jac-alike1"), "jac-links1")
     comp = components(links, "jac-cc1")
     # round two: pairs across components only
     t2 = tok.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -353,7 +377,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments
     across = t2.alias("x").join(t2.alias("y"), F.expr("x.t = y.t and x.doc < y.doc and x.component <> y.component")).where(possible("x", "y"))
     across = voted(across.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))).select("a", "b", "na", "nb")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(across.join(done, ["a", "b"], "left_anti"), "jac-pairs2")
+    second = materialize(alike(across.join(done, ["a", "b"], "left_anti")), "jac-pairs2")
     if not second.isEmpty():
         links = links.unionAll(linked(second, "jac-links2"))
     if split:
