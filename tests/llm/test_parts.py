@@ -169,3 +169,16 @@ def test_search_lanes():
             for i, k in zip(a[of == q], b[of == q]):
                 got[i:k] = True
             assert (want == got).all()
+
+
+def test_signatures_bound_the_difference():
+    from tidemark.llm.jaccard import signatures
+
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(r.choice(pool[:m], k)) for m, k in ((10, 5), (400, 300), (400, 350), (4000, 3000), (1, 1))] + [pool[:0]]
+    sig = signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])).reshape(len(sets), -1)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = int(np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b)) and (i != j or bits == 0)
